@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, token_files, toxicity
+from . import imatch, language, mixing, packing, quality, token_files, toxicity
 from .common import table
 
 #: Where the public vocabularies are; a parameter of the operators that use one.
@@ -28,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, vocabulary(WORD_VOCABULARY), 2))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
