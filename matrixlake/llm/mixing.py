@@ -99,6 +99,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     return joined.select(*own, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of docs, with all their columns, as often as they are taken."""
+    out = mixed(docs).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import blobs, textarrays as ta
 from .common import partitions, staged
@@ -96,7 +97,7 @@ def _profile(words: int):
                 n.append(len(h))
                 a.append(d1)
                 b.append(d2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "tag", "n", "d1", "d2"])
 
     return work
 
@@ -188,10 +189,10 @@ def links(ids: list[int], found: list[np.ndarray], num: int, den: int) -> list[t
 
 
 def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, and d1 and d2, the digests of the document's set."""
+    """doc_id, n_shingles, component_id; also tag, a hash of the text, and group, the same for rows of one component."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    base = staged(rows.mapInArrow(_profile(words), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "shingle-sets")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    base = staged(rows.mapInArrow(_profile(words), "doc_id bigint, tag bigint, n bigint, d1 bigint, d2 bigint"), "shingle-sets")
     class_ = staged(base.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     n = partitions(spark)
@@ -222,11 +223,22 @@ def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> D
     linked = components(spread.groupBy("tile").applyInPandas(test, "a bigint, b bigint"))
     rooted = class_.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "d1").alias("root"))
     first = rooted.filter("n > 0").groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component")
+    named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component", "root")
     out = base.join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     known = lambda c: F.when(c != NULL_ID, c)
-    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "d1", "d2")
+    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "tag", F.col("root").alias("group"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, but of each component only one; rows without words all stay."""
+    rows = classes(docs, words, num, den)
+    id_ = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(id_.alias("id"), "tag")).alias("first"))
+    stay = first.select("first.id", "first.tag", F.lit(1).alias("most")).union(rows.filter("n_shingles = 0").select(id_, "tag", F.lit(1 << 30)).distinct()).toDF("_id", "_tag", "_most")
+    met = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_tag": F.xxhash64("text")}).join(stay, ["_id", "_tag"])
+    turn = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_most"))
+    return met.withColumn("_turn", turn).filter(F.col("_turn") <= F.col("_most")).select(*docs.columns)
 
 
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:

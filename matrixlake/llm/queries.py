@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, language, mixing, neighbours, ngram_join, packing, quality, token_files, toxicity
+from . import imatch, language, mixing, neighbours, ngram_join, packing, quality, repeats, token_files, toxicity
 from .common import table
 
 #: Where the public vocabularies are; a parameter of the operators that use one.
@@ -32,6 +32,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rest", "kept")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_ngram_join": op3_ngram_join,
+    "op4_repeats": op4_repeats,
     "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
     "op7_neighbours": op7_neighbours,
