@@ -1,7 +1,8 @@
 """Encoding with a public vocabulary: whole texts, by pieces between spaces, each distinct piece encoded once.
 
 Neither of the two pre-tokenizers used here lets a token run from other characters into white space, so a text may be
-cut before a space that follows such a character without changing its ids. Other tokenizers get whole texts.
+cut before white space without changing its ids; where two stand together, only before a space that follows another
+character. A single newline is a token of its own or dropped. Other tokenizers get whole texts.
 """
 
 from __future__ import annotations
@@ -9,16 +10,31 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces kept with their ids; beyond it the memory of pieces starts anew. Longer pieces aren't kept.
-KEPT_PIECES, KEPT_CHARS = 400_000, 64
+#: Pieces with their ids fill one memory up to this number; then it takes the place of an older one and starts anew,
+#: so what is met often stays. Longer pieces aren't kept.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
+MARKS = (",", ".", ";", ":", "!", "?")
+#: Letters before this one have one lower-case form and no combining parts.
+LATIN_END = "\u0250"
 _CUT = re.compile(r"(?<=\S)(?= )")
-_GLUED = re.compile(r"\s ")
+_DOUBLE = re.compile(r"\s\s")
 _loaded: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as itself if it prints in Latin-1, and as the next free letter from 256 on if not."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -28,7 +44,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text can't forge control ids
-        self.joiner = Tokenizer.from_file(path)  # sees special tokens: one of them stands between pieces
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -38,10 +53,7 @@ class Encoder:
             self.kind = "spaced"  # a space belongs to the word after it
         elif parts == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("invert") and "[^\\s\\p{L}" in before["pretokenizers"][0]["pattern"].get("Regex", ""):
             self.kind = "bare"  # white space is dropped
-        marks = [x for x in spec.get("added_tokens", []) if x["special"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"]]
-        self.mark, self.mark_id = (marks[-1]["content"], marks[-1]["id"]) if marks else ("", -1)
-        self.marks = [x["content"] for x in spec.get("added_tokens", [])]
-        self.kept: dict[str, bytes] = {}
+        self.memory, self.old = _Memory(self), {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -53,45 +65,41 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.asarray(e.ids, "<u4").tobytes() for e in encode(pieces, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """As _direct, in one call: the special token between two pieces shows in the ids where one ends."""
-        if not self.mark or any(m in p for p in pieces for m in self.marks if "<" in p or "<" not in m):
-            return self._direct(pieces)
-        out = []
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
-            encode = getattr(self.joiner, "encode_batch_fast", self.joiner.encode_batch)
-            ids = np.asarray(encode([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            cuts = [0, *((ends + 1) * 4).tolist(), len(raw) + 4]
-            out += [raw[a : b - 4] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
-
     def pieces(self, text: str) -> list[str]:
         if self.kind == "bare":
-            return text.split(" ")
-        if self.kind == "whole":
-            return [text]
-        if _GLUED.search(text):
+            return text.replace("\n", " ").split(" ")
+        if _DOUBLE.search(text):
             return _CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece. A run of Latin letters is one word to the merges; a mark after letters is a word of its own."""
+        spaced = self.kind == "spaced" and piece[:1] == " "
+        word = piece[1:] if spaced else piece
+        if word.isalpha() and max(word) < LATIN_END:
+            raw = (word if self.kind == "spaced" else word.lower()).encode().decode("latin-1").translate(BYTE_LETTERS)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(BYTE_LETTERS[32] * spaced + raw)]).tobytes()
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.memory[piece[:-1]] + self.memory[piece[-1]]
+        return self._direct([piece])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.kind == "whole":
             return self._direct([t or "" for t in texts])
-        out = []
-        for text in texts:
-            cut = self.pieces(text or "")
-            get = self.kept.get
-            ids = list(map(get, cut))
-            if None in ids:
-                new = list({p for p, i in zip(cut, ids, strict=True) if i is None})
-                fresh = dict(zip(new, self._pieces(new), strict=True))
-                ids = [fresh[p] if i is None else i for p, i in zip(cut, ids, strict=True)]
-                if len(self.kept) + len(fresh) > KEPT_PIECES:
-                    self.kept.clear()
-                self.kept.update((p, i) for p, i in fresh.items() if len(p) <= KEPT_CHARS)
-            out.append(b"".join(ids))
+        out = [b"".join(map(self.memory.__getitem__, self.pieces(text or ""))) for text in texts]
+        if len(self.memory) > KEPT_PIECES:
+            self.old, self.memory = self.memory, _Memory(self)
         return out
+
+
+class _Memory(dict):
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = dict.get(self.encoder.old, piece)
+        if ids is None:
+            ids = self.encoder.piece(piece)
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = ids
+        return ids
