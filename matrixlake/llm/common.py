@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python task at once, whatever the number of rows.
+ARROW_BYTES = 8 << 20
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -22,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors unless PYTHONPATH already has it for them."""
+    """Sends the package to the executors unless PYTHONPATH already has it for them; keeps Arrow batches of texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_matrixlake", False):
         return

@@ -6,10 +6,11 @@ than k parts and they agree on one part at least. So each class sends a signatur
 own size band and for the one below where partners can be; classes that share a signature are candidates. (A class with
 too many empty parts also sends its first k + 1 shingles, which is enough for two such classes to meet.)
 
-Candidates are gathered by connection. A group that fits is one tile; a larger one is cut by size band, and bands by
+A group of classes that share a signature and fits is one tile; a larger one is cut by size band, and bands by
 hash, into blocks, and every two blocks of the same or neighbouring bands make a tile, so no pair is missed and none is
 too large. In a tile, parity bitmaps of hashed shingles bound the overlap from above: the bits in which two differ
-are at most their differing shingles. What passes is intersected exactly. A tile links each document as it is reached, so
+are at most their differing shingles. What passes is gathered by connection and tiled in the same way, with the sets
+themselves, and intersected exactly. A tile links each document as it is reached, so
 a group of n near copies costs about n tests and gives n - 1 links, never all pairs.
 
 Defined results: null or empty texts, and texts without words, have empty sets and link with nothing; with fewer words
@@ -23,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from . import blobs, textarrays as ta
 from .common import partitions, staged
-from .graphs import components, forest
+from .graphs import components
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
@@ -136,19 +136,60 @@ def _signatures(words: int, num: int, den: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the classes that share a signature in this task's buckets."""
+    """Members of each group of classes that share a signature in this task's buckets; equal groups once."""
     parts = [x for batch in batches for x in batch.column("block").to_pylist()]
     key, owner = blobs.unpack(parts, ["u8", "i8"])
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    if len(key):
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(key))))
-        other = owner != least
-        pairs = np.unique(np.column_stack([owner[other], least[other]]), axis=0)
-        a, b = forest(pairs[:, 0].tolist(), pairs[:, 1].tolist())
-        for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000], pa.int64()), pa.array(b[i : i + 50_000], pa.int64())], names=["a", "b"])
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[fresh], owner[fresh]
+    if not len(key):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(starts, len(key)))
+    group = (np.add.reduceat(ta.mix(owner.astype(U64)), starts) >> U64(1)).astype(np.int64)
+    _, first = np.unique(group, return_index=True)
+    keep = np.zeros(len(starts), bool)
+    keep[first] = True
+    rows = np.repeat(keep & (count > 1), count)
+    group, owner = np.repeat(group, count)[rows], owner[rows]
+    for i in range(0, len(owner), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(group[i : i + 50_000]), pa.array(owner[i : i + 50_000])], names=["root", "d1"])
+
+
+def _tested(num: int, den: int, exact: bool):
+    """Links within each tile; rows come sorted by tile."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        now, held = None, {}
+
+        def close() -> None:
+            if len(held) > 1:
+                n = [x[0] for x in held.values()]
+                bits = np.frombuffer(b"".join(x[1] for x in held.values()), U64).reshape(len(held), -1)
+                found = [np.frombuffer(x[2], U64) for x in held.values()] if exact else None
+                out.extend(links(list(held), np.array(n), bits, found, num, den))
+
+        for batch in batches:
+            for tile, d1, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "d1", "n", "bits", *(["shingles"] if exact else []))), strict=True):
+                if tile != now:
+                    close()
+                    now, held = tile, {}
+                    if len(out) >= 50_000:
+                        yield _links(out)
+                        out = []
+                held[d1] = row
+        close()
+        if out:
+            yield _links(out)
+
+    return work
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
 def bitmaps(found: list[np.ndarray]) -> np.ndarray:
@@ -160,9 +201,11 @@ def bitmaps(found: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, 1).view(U64)
 
 
-def links(ids: list[int], found: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A link for each set that is reached from another; together they connect what the threshold connects."""
-    size, bits = np.array([len(h) for h in found]), bitmaps(found)
+def links(ids: list[int], size: np.ndarray, bits: np.ndarray, found: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """A link for each set that is reached from another; together they connect what the threshold connects.
+
+    Without the sets themselves (found) they connect what the bitmaps let pass, which is that and perhaps more.
+    """
     order = np.argsort(size, kind="stable")
     left, out = order, []
     while len(left):
@@ -170,13 +213,14 @@ def links(ids: list[int], found: list[np.ndarray], num: int, den: int) -> list[t
         while todo and len(left):
             p = todo.pop()
             n = size[left]
-            a, b = np.searchsorted(n, [-(-len(found[p]) * num // den), len(found[p]) * den // num + 1])
-            total = n[a:b] + len(found[p])
+            mine = int(size[p])
+            a, b = np.searchsorted(n, [-(-mine * num // den), mine * den // num + 1])
+            total = n[a:b] + mine
             need = -(-total * num // (num + den))
             apart = np.bitwise_count(bits[left[a:b]] ^ bits[p]).sum(1, dtype=np.int64)
             near = np.flatnonzero(total - apart >= 2 * need)  # the overlap is at most (total - apart) / 2
-            hit = []
-            for i in range(0, len(near), 512):
+            hit = [] if found else (a + near).tolist()
+            for i in range(0, len(near) if found else 0, 512):
                 part = near[i : i + 512]
                 flat = np.concatenate([found[left[a + j]] for j in part])
                 at = np.minimum(np.searchsorted(found[p], flat), len(found[p]) - 1)
@@ -197,30 +241,16 @@ def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> D
 
     n = partitions(spark)
     sent = rows.select("text").mapInArrow(_signatures(words, num, den, 4 * n), "bucket int, block binary")
-    met = sent.repartition(n, "bucket").mapInArrow(_meet, "a bigint, b bigint")
-    groups = components(met)
-
-    members = class_.join(groups, F.col("d1") == F.col("node")).select("root", "d1", "d2", "n", "rep")
-    tiles = _tiles(members, num, den)
-
-    def recall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d1, d2, found = batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), {}
-            for i, h in sets(batch.column("text"), words):
-                if digests(h) == (d1[i], d2[i]):  # rows of one id may have several texts
-                    found[i] = h.tobytes()
-            at = pa.array(list(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("tiles").take(at), batch.column("d1").take(at), pa.array(list(found.values()), pa.binary())], names=["tiles", "d1", "shingles"])
-
-    texts = rows.join(tiles, F.col("doc_id") == F.col("rep")).select("text", "d1", "d2", "tiles")
-    spread = texts.mapInArrow(recall, "tiles array<string>, d1 bigint, shingles binary").select(F.explode("tiles").alias("tile"), "d1", "shingles")
-
-    def test(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates("d1")
-        got = links(tile.d1.tolist(), [np.frombuffer(x, U64) for x in tile.shingles], num, den)
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
-
-    linked = components(spread.groupBy("tile").applyInPandas(test, "a bigint, b bigint"))
+    groups = staged(sent.repartition(n, "bucket").mapInArrow(_meet, "root bigint, d1 bigint").distinct(), "signature-groups")
+    wanted = class_.join(groups.select("d1").distinct(), "d1").select("d1", "d2", F.col("rep").alias("_rep"))
+    texts = rows.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "d1", "d2")
+    known_sets = staged(texts.mapInArrow(_recall(words), "d1 bigint, n bigint, bits binary, shingles binary"), "candidate-sets")
+
+    # first by bitmaps within each group, so that a common passage doesn't chain texts together; then exactly
+    maybe = _tiles(groups.join(known_sets.select("d1", "n", "bits"), "d1"), num, den)
+    close = components(_by_tile(maybe, n).mapInArrow(_tested(num, den, False), "a bigint, b bigint"))
+    near = _tiles(known_sets.join(close.withColumnRenamed("node", "d1"), "d1"), num, den)
+    linked = components(_by_tile(near, n).mapInArrow(_tested(num, den, True), "a bigint, b bigint"))
     rooted = class_.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "d1").alias("root"))
     first = rooted.filter("n > 0").groupBy("root").agg(F.min("rep").alias("component"))
     named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component", "root")
@@ -241,8 +271,38 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     return met.withColumn("_turn", turn).filter(F.col("_turn") <= F.col("_most")).select(*docs.columns)
 
 
+def _recall(words: int):
+    """The sets of candidates, from their texts, with their bitmaps; each once, as rows of an id come to one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            d1, d2, ids, found = batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), [], []
+            for i, h in sets(batch.column("text"), words):
+                if d1[i] not in seen and digests(h) == (d1[i], d2[i]):  # rows of one id may have several texts
+                    seen.add(d1[i])
+                    ids.append(d1[i])
+                    found.append(h)
+                if len(found) == 500:
+                    yield _set_rows(ids, found)
+                    ids, found = [], []
+            if found:
+                yield _set_rows(ids, found)
+
+    return work
+
+
+def _set_rows(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+    bits = [x.tobytes() for x in bitmaps(found)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["d1", "n", "bits", "shingles"])
+
+
+def _by_tile(members: DataFrame, n: int) -> DataFrame:
+    return members.withColumn("tile", F.explode("tiles")).drop("tiles").repartition(n, "tile").sortWithinPartitions("tile")
+
+
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members with the names of the tiles that each is in."""
+    """members with the names of the tiles that each is in; root names the group, n is the size of the set."""
     sizes = members.groupBy("root").agg(F.count("*").alias("all"))
     low = bands(num, den, 1.0, 1)  # sizes of partners lie in the same band or a neighbouring one
     while low[-1] < 1 << 40:
@@ -258,4 +318,4 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
       transform(sequence(0, here - 1), j -> concat_ws(':', root, band, least(block, j), band, greatest(block, j))),
       if(above is null, array(), transform(sequence(0, coalesce(above, 1) - 1), j -> concat_ws(':', root, band, block, band + 1, j))),
       if(below is null, array(), transform(sequence(0, coalesce(below, 1) - 1), j -> concat_ws(':', root, band - 1, j, band, block))))""")
-    return marked.withColumn("tiles", F.when(F.col("band") == 0, F.array(F.col("root").cast("string"))).otherwise(many)).select("rep", "d1", "d2", "tiles")
+    return marked.withColumn("tiles", F.when(F.col("band") == 0, F.array(F.col("root").cast("string"))).otherwise(many)).select(*members.columns, "tiles")

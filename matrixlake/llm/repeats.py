@@ -38,7 +38,7 @@ from .common import partitions, staged
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
-GRAM, FLUSH, WINDOWS = 24, 400_000, 1_500_000
+GRAM, FLUSH, WINDOWS = 24, 300_000, 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = ta.mix(np.arange(256, dtype=U64) + U64(1 << 20))
@@ -290,7 +290,7 @@ def _apply(length: int, keep: bool, windows: int, out_schema: pa.Schema):
                 done = remove(text, *known, keep)
                 rows.append(row | {"kind": 0, **dict(zip(KEPT.names, done, strict=True))})
                 bytes_held += len(done[4] or b"")
-            if len(rows) >= 2000 or bytes_held >= 8 << 20:
+            if len(rows) >= 1000 or bytes_held >= 4 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
                 rows, bytes_held = [], 0
             if size >= WINDOWS:
@@ -338,7 +338,7 @@ def _finish(length: int, keep: bool, out_schema: pa.Schema):
             done = remove(text, np.concatenate([known[:, 0], at]), np.concatenate([known[:, 1], at + length]), keep)
             rows.append({"doc": doc, "rest": batch.column("rest")[i].as_py(), **dict(zip(KEPT.names, done, strict=True))})
             bytes_held += len(done[4] or b"")
-            if len(rows) >= 2000 or bytes_held >= 8 << 20:
+            if len(rows) >= 1000 or bytes_held >= 4 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
                 rows, bytes_held = [], 0
         if rows:
