@@ -15,7 +15,7 @@ A window is a repeat if an equal one starts earlier: in a smaller doc_id, or ear
 repeats go. Windows never cross texts and are judged on the input.
 
 Fingerprints are 64 bits and stand for the suffix order of the dictionary: a suffix array over all tasks would have to be
-built in one place. Phrases are matched by 128 bits in all, windows by 64.
+built in one place. Phrases are matched by over 80 bits in all, windows by 64 and their bucket.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows of one doc_id are texts of their own,
 neither of which is earlier than the other at the same place; a null doc_id comes before all others; an empty table gives
@@ -88,59 +88,98 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Spans,
     return spans, trigger[cut], start[cut], np.diff(np.append(cut, len(start))), text[cut]
 
 
-RECORD = ["u8", "u8", "u4", "u4", "i8", "u4", "u4", "u1"]  # key, phrase, left, right, doc, tag, first window, windows
+#: key, phrase, left, right, doc, tag, first window, windows. Bucket and key are different bits of the trigger's hash.
+RECORD = ["u4", "u4", "u2", "u2", "i8", "u4", "u4", "u1"]
 REPLY = ["i8", "u4", "u4", "u2"]  # doc, tag, first window, windows; times two, plus one if they still have to be compared
+WINDOW = ["u8", "i8", "u4", "u4"]  # fingerprint, doc, tag, first byte
+#: What moves: blocks of phrases or windows, of replies, and of documents.
+BLOCKS = "bucket int, kind int, block binary"
+PHRASES, REPLIES, TEXTS = 0, 1, 2
+TEXT_BYTES = 24 << 20
 
 
 def place(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a document; the same as in _bucket."""
+    """The bucket of a document."""
     return (doc ^ (doc >> 17)) % buckets
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.col("doc").bitwiseXOR(F.shiftright("doc", 17)), F.lit(buckets)).cast("int")
-
-
 def _later(doc: np.ndarray, at: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Whether a record comes after the first of its run; same: it continues the run of the one before."""
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
     return same & ((doc != doc[first]) | (at != at[first]))
 
 
-def _sorted(fields: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Records by key, phrase, number of windows and corpus order; whether each goes on with the key, with the phrase."""
-    key, phrase, _, _, doc, tag, at, count = fields
-    order = np.lexsort((tag, at, doc, count, phrase, key))
-    fields = [f[order] for f in fields]
-    key, phrase, count = fields[0], fields[1], fields[7]
-    same_key = np.concatenate([[False], key[1:] == key[:-1]])
-    return fields, same_key, same_key & np.concatenate([[False], (phrase[1:] == phrase[:-1]) & (count[1:] == count[:-1])])
+def _sorted(fields: list[np.ndarray], bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key, phrase and corpus; whether each record then goes on with the key, with the phrase."""
+    key, phrase, left, right, doc, tag, at, count = fields
+    key = key if bucket is None else key.astype(U64) << U64(32) | bucket.astype(U64)
+    whole = phrase.astype(U64) << U64(32) | left.astype(U64) << U64(16) | right  # with the sides, 64 bits beyond the key
+    order = np.lexsort((tag, at, doc, count, whole, key))
+    go_on = lambda x: np.concatenate([[False], x[order][1:] == x[order][:-1]])
+    same_key = go_on(key)
+    return order, same_key, same_key & go_on(whole) & go_on(count)
+
+
+def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        part = rows[i : i + 64]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "kind", "block"])
 
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+def _blocks(kind: int, fields: list[np.ndarray], bucket: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return [(b, kind, block) for b, block in blobs.pack(fields, bucket)]
 
 
-def _batches(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held = list(rows)
-    for i in range(0, len(held), 64):
-        yield _batch(held[i : i + 64])
+def _replies(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, count: np.ndarray, flag: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    return _blocks(REPLIES, [doc, tag, at, (count.astype(np.uint16) - 1) * 2 + np.uint16(flag)], place(doc, buckets))
 
 
-def _parse(length: int, buckets: int, replies: int):
-    """Blocks of phrase records by trigger; and, below zero, of replies: phrases that the task itself met before."""
+def _text_blocks(rows: pa.Table, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Documents by bucket, compressed."""
+    bucket = place(rows.column("doc").to_numpy(), buckets)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows.take(pa.array(order)), bucket[order]
+    cuts, out = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])), []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            f.write_table(rows.slice(a, b - a).combine_chunks())
+        out.append((int(bucket[a]), TEXTS, sink.getvalue().to_pybytes()))
+    return out
+
+
+def _sort_texts(buckets: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= TEXT_BYTES:
+                yield from _batches(_text_blocks(pa.Table.from_batches(held), buckets))
+                held, size = [], 0
+        if held:
+            yield from _batches(_text_blocks(pa.Table.from_batches(held), buckets))
+
+    return work
+
+
+def _parse(length: int, buckets: int):
+    """Blocks of phrase records by trigger, and of replies for phrases that the task itself met before."""
     half = (length - GRAM) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            fields, _, same = _sorted([np.concatenate(f) for f in zip(*held, strict=True)])
-            later = _later(fields[4], fields[6], same)
-            yield from _batches(blobs.pack([f[~later] for f in fields], ((fields[0][~later] >> U64(20)) % U64(buckets)).astype(np.int64)))
+        def flush() -> list[tuple[int, int, bytes]]:
+            bucket, *fields = (np.concatenate(f) for f in zip(*held, strict=True))
+            order, _, same = _sorted(fields, bucket)
+            later = np.zeros(len(order), bool)
+            later[order] = _later(fields[4][order], fields[6][order], same)
+            out = _blocks(PHRASES, [f[~later] for f in fields], bucket[~later])  # in order of documents, which compresses better
             _, _, _, _, doc, tag, at, count = (f[later] for f in fields)
-            yield from _batches(blobs.pack([doc, tag, at, (count.astype(np.uint16) - 1) * 2], -1 - place(doc, replies)))
+            return out + _replies(doc, tag, at, count, 0, buckets)
 
         for batch in batches:
             docs, tags = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False).astype(np.uint32)
@@ -150,54 +189,57 @@ def _parse(length: int, buckets: int, replies: int):
                     continue
                 key = spans.hash(trigger, GRAM)
                 before = trigger - start  # bytes of the first window before the trigger
-                shared = before - count + 1  # and of the last window
-                left = np.where(before >= half, spans.hash(np.maximum(trigger - half, 0), half + GRAM) >> U64(32) | U64(1), U64(0))
+                after = before - count + 1  # and of the last window
+                left = np.where(before >= half, spans.hash(np.maximum(trigger - half, 0), half + GRAM) >> U64(48) | U64(1), U64(0))
                 reach = np.minimum(trigger + GRAM + half, len(data)) - trigger
-                right = np.where(shared < half, spans.hash(trigger, reach) >> U64(32) | U64(1), U64(0))
+                right = np.where(after < half, spans.hash(trigger, reach) >> U64(48) | U64(1), U64(0))
                 phrase = spans.hash(start, count + length - 1) + before.astype(U64) * U64(0xD6E8FEB86659FD93)
-                held.append([key, phrase, left.astype(np.uint32), right.astype(np.uint32), docs[i + text], tags[i + text], (start - offsets[text]).astype(np.uint32), count.astype(np.uint8)])
+                bucket = (key & U64(0xFFFFFFFF)) % U64(buckets)
+                held.append([bucket.astype(np.int64), (key >> U64(32)).astype(np.uint32), (phrase >> U64(32)).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16), docs[i + text], tags[i + text], (start - offsets[text]).astype(np.uint32), count.astype(np.uint8)])
                 size += len(key)
                 if size >= FLUSH:
-                    yield from flush()
+                    yield from _batches(flush())
                     held.clear()
                     size = 0
         if held:
-            yield from flush()
+            yield from _batches(flush())
 
     return work
 
 
-def _dictionary(replies: int):
+def _received(batches: Iterator[pa.RecordBatch], kind: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Collects blocks of this kind in parts and lets others through."""
+    for batch in batches:
+        own = np.asarray(batch.column("kind")) == kind
+        parts += batch.filter(pa.array(own)).column("block").to_pylist()
+        if not own.all():
+            yield batch.filter(pa.array(~own))
+
+
+def _dictionary(buckets: int):
     """Replies to the documents: whole phrases that occur earlier, and phrases whose windows must be compared."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if bucket < 0:
-                    yield _batch([(-1 - bucket, block)])
-                else:
-                    parts.append(block)
+        parts: list[bytes] = []
+        yield from _received(batches, PHRASES, parts)
         fields = blobs.unpack(parts, RECORD)
         if not len(fields[0]):
             return
-        fields, same_key, same = _sorted(fields)
-        key, _, left, right, doc, tag, at, count = fields
+        order, same_key, same = _sorted(fields)
+        _, _, left, right, doc, tag, at, count = (f[order] for f in fields)
         later = _later(doc, at, same)
         group = np.cumsum(~same_key)
-        open_ = np.zeros(len(key), bool)
+        open_ = np.zeros(len(doc), bool)
         first = np.flatnonzero(~same)  # one of each phrase stands for it
         for side in (left, right):
             some = first[side[first] != 0]
-            order = np.lexsort((side[some], group[some]))
-            some = some[order]
+            some = some[np.lexsort((side[some], group[some]))]
             agree = (group[some][1:] == group[some][:-1]) & (side[some][1:] == side[some][:-1])
             open_[some[1:][agree]] = open_[some[:-1][agree]] = True
-        run = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+        run = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
         open_ = open_[run] & ~later
         for which, flag in ((later, 0), (open_, 1)):
-            if which.any():
-                yield from _batches(blobs.pack([doc[which], tag[which], at[which], (count[which].astype(np.uint16) - 1) * 2 + flag], place(doc[which], replies)))
+            yield from _batches(_replies(doc[which], tag[which], at[which], count[which], flag, buckets))
 
     return work
 
@@ -240,109 +282,100 @@ class Answers:
         return self.at[a:b], (self.count[a:b] >> 1) + 1, (self.count[a:b] & 1).astype(bool)
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Answers]]:
-    """Rows of documents, one by one, with the replies of their bucket, which come before them."""
-    bucket, blocks, answers = None, [], None
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Answers]]:
+    """Blocks of documents with the replies of their bucket, which come before them."""
+    bucket, replies, answers = None, [], None
     for batch in batches:
-        buckets, blocks_here = batch.column("bucket").to_pylist(), batch.column("block")
-        for i, b in enumerate(buckets):
+        for b, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block")), strict=True):
             if b != bucket:
-                bucket, blocks, answers = b, [], None
-            if blocks_here[i].is_valid:
-                blocks.append(blocks_here[i].as_py())
+                bucket, replies, answers = b, [], None
+            if kind == REPLIES:
+                replies.append(block)
             else:
-                answers = answers or Answers(blocks)
-                yield batch, i, answers
+                answers = answers or Answers(replies)
+                for rows in pa.ipc.open_stream(block):
+                    yield rows, answers
 
 
-def _apply(length: int, keep: bool, windows: int, out_schema: pa.Schema):
-    """Finished documents; of unfinished ones the text with what is known, and blocks of window fingerprints."""
+def _done(rows: list[tuple], rest: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """Finished documents: (doc, n_bytes, n_removed, n_spans, sha256, kept) with the rest of their rows."""
+    columns = dict(zip(["doc", *KEPT.names], zip(*rows, strict=True), strict=True)) | {"rest": pa.concat_arrays(rest)}
+    return pa.RecordBatch.from_arrays([columns["rest"] if f.name == "rest" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
+
+
+def _apply(length: int, keep: bool, buckets: int, schema: pa.Schema):
+    """Finished documents; of the others blocks of their texts with what is known, and of window fingerprints."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        bytes_held = size = 0
         held: list[list[np.ndarray]] = []
+        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> list[tuple[int, int, bytes]]:
             h, doc, tag, at = (np.concatenate(f) for f in zip(*held, strict=True))
             order = np.lexsort((tag, at, doc, h))
-            h, doc, tag, at = (x[order] for x in (h, doc, tag, at))
-            later = _later(doc, at, np.concatenate([[False], h[1:] == h[:-1]]))
-            packed = [*blobs.pack([h[~later], doc[~later], tag[~later], at[~later]], ((h[~later] >> U64(20)) % U64(windows)).astype(np.int64))]
-            packed += blobs.pack([doc[later], tag[later], at[later], np.zeros(later.sum(), np.uint16)], -1 - place(doc[later], windows))
-            for i in range(0, len(packed), 64):
-                yield pa.RecordBatch.from_pylist([{"kind": 1, "bucket": k, "block": b} for k, b in packed[i : i + 64]], schema=out_schema)
-
-        for batch, i, answers in _join(batches):
-            doc, tag, text = batch.column("doc")[i].as_py(), batch.column("tag")[i].as_py(), batch.column("text")[i].as_py()
-            at, count, open_ = answers.of(doc, tag)
-            row = {"doc": doc, "tag": tag, "rest": batch.column("rest")[i].as_py()}
-            known = at[~open_], at[~open_] + count[~open_] - 1 + length
-            if open_.any():
-                starts = np.repeat(at[open_] - np.concatenate([[0], np.cumsum(count[open_])[:-1]]), count[open_]) + np.arange(count[open_].sum())
-                a, b = covered(*known)
-                h = Spans(np.frombuffer(text, np.uint8)).hash(starts, length)
-                held.append([h, np.full(len(h), doc), np.full(len(h), tag, np.uint32), starts.astype(np.uint32)])
-                size += len(h)
-                rows.append(row | {"kind": 2, "text": text, "known": np.column_stack([a, b]).astype("<i8").tobytes()})
-                bytes_held += len(text)
-            else:
-                done = remove(text, *known, keep)
-                rows.append(row | {"kind": 0, **dict(zip(KEPT.names, done, strict=True))})
-                bytes_held += len(done[4] or b"")
-            if len(rows) >= 1000 or bytes_held >= 4 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-                rows, bytes_held = [], 0
+            later = np.zeros(len(h), bool)
+            later[order] = _later(doc[order], at[order], np.concatenate([[False], h[order][1:] == h[order][:-1]]))
+            out = _blocks(PHRASES, [h[~later], doc[~later], tag[~later], at[~later]], ((h[~later] >> U64(20)) % U64(buckets)).astype(np.int64))
+            return out + _replies(doc[later], tag[later], at[later], np.ones(later.sum(), np.uint8), 0, buckets)
+
+        def moved(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for batch in _batches(rows):
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in ("bucket", "kind", "block") else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+        for rows, answers in _answered(batches):
+            done, known, wait = [], [], np.zeros(rows.num_rows, bool)
+            texts = rows.column("text")
+            for i, (doc, tag) in enumerate(zip(rows.column("doc").to_pylist(), rows.column("tag").to_pylist(), strict=True)):
+                at, count, open_ = answers.of(doc, tag)
+                sure = at[~open_], at[~open_] + count[~open_] - 1 + length
+                text = texts[i].as_py()
+                if open_.any():
+                    wait[i] = True
+                    starts = np.repeat(at[open_] - np.concatenate([[0], np.cumsum(count[open_])[:-1]]), count[open_]) + np.arange(count[open_].sum())
+                    h = Spans(np.frombuffer(text, np.uint8)).hash(starts, length)
+                    held.append([h, np.full(len(h), doc), np.full(len(h), tag, np.uint32), starts.astype(np.uint32)])
+                    size += len(h)
+                    known.append(np.column_stack(covered(*sure)).astype("<i8").tobytes())
+                else:
+                    done.append((doc, *remove(text, *sure, keep)))
+            if done:
+                yield _done(done, [rows.column("rest").filter(pa.array(~wait))], schema)
+            if known:
+                part = pa.Table.from_batches([rows.filter(pa.array(wait))]).append_column("known", pa.array(known, pa.binary()))
+                yield from moved(_text_blocks(part, buckets))
             if size >= WINDOWS:
-                yield from flush()
+                yield from moved(flush())
                 held, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
         if held:
-            yield from flush()
+            yield from moved(flush())
 
     return work
 
 
-def _compare(replies: int):
+def _compare(buckets: int):
     """Replies for windows that occur earlier, by window fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if bucket < 0:
-                    yield _batch([(-1 - bucket, block)])
-                else:
-                    parts.append(block)
-        h, doc, tag, at = blobs.unpack(parts, ["u8", "i8", "u4", "u4"])
-        if not len(h):
-            return
+        parts: list[bytes] = []
+        yield from _received(batches, PHRASES, parts)
+        h, doc, tag, at = blobs.unpack(parts, WINDOW)
         order = np.lexsort((tag, at, doc, h))
         h, doc, tag, at = (x[order] for x in (h, doc, tag, at))
-        later = _later(doc, at, np.concatenate([[False], h[1:] == h[:-1]]))
-        if later.any():
-            doc, tag, at = doc[later], tag[later], at[later]
-            yield from _batches(blobs.pack([doc, tag, at, np.zeros(len(doc), np.uint16)], place(doc, replies)))
+        later = _later(doc, at, np.concatenate([[False], h[1:] == h[:-1]])[: len(h)])
+        yield from _batches(_replies(doc[later], tag[later], at[later], np.ones(later.sum(), np.uint8), 0, buckets))
 
     return work
 
 
-def _finish(length: int, keep: bool, out_schema: pa.Schema):
+def _finish(length: int, keep: bool, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, bytes_held = [], 0
-        for batch, i, answers in _join(batches):
-            doc, tag, text = batch.column("doc")[i].as_py(), batch.column("tag")[i].as_py(), batch.column("text")[i].as_py()
-            at, _, _ = answers.of(doc, tag)
-            known = np.frombuffer(batch.column("known")[i].as_py(), "<i8").reshape(-1, 2)
-            done = remove(text, np.concatenate([known[:, 0], at]), np.concatenate([known[:, 1], at + length]), keep)
-            rows.append({"doc": doc, "rest": batch.column("rest")[i].as_py(), **dict(zip(KEPT.names, done, strict=True))})
-            bytes_held += len(done[4] or b"")
-            if len(rows) >= 1000 or bytes_held >= 4 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-                rows, bytes_held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+        for rows, answers in _answered(batches):
+            done = []
+            for doc, tag, text, known in zip(*(rows.column(c).to_pylist() for c in ("doc", "tag", "text", "known")), strict=True):
+                at, _, _ = answers.of(doc, tag)
+                sure = np.frombuffer(known, "<i8").reshape(-1, 2)
+                done.append((doc, *remove(text, np.concatenate([sure[:, 0], at]), np.concatenate([sure[:, 1], at + length]), keep)))
+            yield _done(done, [rows.column("rest")], schema)
 
     return work
 
@@ -356,29 +389,31 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 def deduplicated(docs: DataFrame, length: int = 100, keep: bool = False) -> DataFrame:
     """doc_id, rest (the other columns as a struct), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (whole characters)."""
     n = partitions(docs.sparkSession)
-    buckets = 4 * n
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others and keep else F.struct(F.lit(0).alias("none"))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), F.crc32(text).alias("tag"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
-    reply = "bucket int, block binary"
+    # rows that share an id are told apart by their texts; where none do, nothing need be sent along
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    tag = F.crc32(text) if shared else F.lit(0).cast("bigint")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc"), tag.alias("tag"), text.alias("text"), rest.alias("rest"))
 
-    sent = rows.select("doc", "tag", "text").mapInArrow(_parse(length, buckets, buckets), reply)
-    told = sent.repartition(n, "bucket").mapInArrow(_dictionary(buckets), reply)
+    sent = rows.select("doc", "tag", F.col("text").cast("string").alias("text")).mapInArrow(_parse(length, n), BLOCKS)
+    told = sent.repartitionById(n, F.col("bucket")).mapInArrow(_dictionary(n), BLOCKS)
+    texts = rows.mapInArrow(_sort_texts(n), BLOCKS)
 
-    def meet(told: DataFrame, rows: DataFrame) -> DataFrame:
+    def meet(told: DataFrame, texts: DataFrame) -> DataFrame:
         """Replies and documents by bucket, replies first."""
-        both = told.unionByName(rows.withColumn("bucket", _bucket(buckets)), allowMissingColumns=True)
-        return both.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("block").isNull())
+        return told.union(texts).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
     kind = rows.schema["rest"].dataType
-    first = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("rest", kind), *KEPT.fields, T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType()), T.StructField("text", T.BinaryType()), T.StructField("known", T.BinaryType())])
-    half = staged(meet(told, rows.withColumn("text", F.col("text").cast("binary"))).mapInArrow(_apply(length, keep, buckets, _arrow(first)), first), "repeats")
-
-    told = half.filter("kind = 1").select("bucket", "block").repartition(n, "bucket").mapInArrow(_compare(buckets), reply)
     last = T.StructType([T.StructField("doc", T.LongType()), T.StructField("rest", kind), *KEPT.fields])
-    rest_rows = meet(told, half.filter("kind = 2").select("doc", "tag", "text", "rest", "known")).mapInArrow(_finish(length, keep, _arrow(last)), last)
-    out = half.filter("kind = 0").select(*last.names).unionByName(rest_rows)
+    moved = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
+    first = T.StructType([*last.fields, *moved.fields])
+    half = staged(meet(told, texts).mapInArrow(_apply(length, keep, n, _arrow(first)), first), "repeats")
+
+    told = half.filter(F.col("kind").isin(PHRASES, REPLIES)).select(*moved.names).repartitionById(n, F.col("bucket")).mapInArrow(_compare(n), BLOCKS)
+    rest_rows = meet(told, half.filter(F.col("kind") == TEXTS).select(*moved.names)).mapInArrow(_finish(length, keep, _arrow(last)), last)
+    out = half.filter("kind is null").select(*last.names).unionByName(rest_rows)
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "rest", *KEPT.names)
 
 
