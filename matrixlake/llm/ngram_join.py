@@ -35,7 +35,7 @@ from .graphs import components
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
-TILE_ROWS, BITMAP_WORDS, FLUSH = 1024, 16, 1_000_000
+TILE_ROWS, FLUSH = 1024, 1_000_000
 BAND_GROWTH = 1.5
 
 
@@ -168,7 +168,7 @@ def _tested(num: int, den: int, exact: bool):
         def close() -> None:
             if len(held) > 1:
                 n = [x[0] for x in held.values()]
-                bits = np.frombuffer(b"".join(x[1] for x in held.values()), U64).reshape(len(held), -1)
+                bits = [x[1] for x in held.values()]
                 found = [np.frombuffer(x[2], U64) for x in held.values()] if exact else None
                 out.extend(links(list(held), np.array(n), bits, found, num, den))
 
@@ -192,32 +192,57 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
-def bitmaps(found: list[np.ndarray]) -> np.ndarray:
-    """For each set the parity of the number of shingles that hash to each of 64 * BITMAP_WORDS bits."""
-    bits = 64 * BITMAP_WORDS
-    out = np.zeros((len(found), bits), bool)
-    for row, h in zip(out, found, strict=True):
-        row[:] = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(out, 1).view(U64)
+def width(size: int) -> int:
+    """Bits of a set's bitmap: so many that differing bits of unrelated sets outnumber what partners may differ in."""
+    return 1 << max(10, (size * 3 // 4).bit_length())
 
 
-def links(ids: list[int], size: np.ndarray, bits: np.ndarray, found: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
+def bitmap(h: np.ndarray) -> bytes:
+    """The parity of the number of shingles that hash to each bit."""
+    bits = width(len(h))
+    return np.packbits(np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of sets in ascending size, folded to any common width that is asked for."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.bytes = raw, np.array([len(x) for x in raw])
+        self.made: dict[int, tuple[int, np.ndarray]] = {}
+
+    def at(self, wide: int) -> tuple[int, np.ndarray]:
+        """(first set of at least this width, rows of 64-bit words from there on)."""
+        if wide not in self.made:
+            first = int(np.searchsorted(self.bytes, wide // 8))
+            rows = np.zeros((len(self.raw) - first, wide // 64), U64)
+            for row, x in zip(rows, self.raw[first:], strict=True):
+                row[:] = np.bitwise_xor.reduce(np.frombuffer(x, U64).reshape(-1, wide // 64), 0)
+            self.made[wide] = first, rows
+        return self.made[wide]
+
+
+def links(ids: list[int], size: np.ndarray, bits: list[bytes], found: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
     """A link for each set that is reached from another; together they connect what the threshold connects.
 
     Without the sets themselves (found) they connect what the bitmaps let pass, which is that and perhaps more.
     """
     order = np.argsort(size, kind="stable")
-    left, out = order, []
+    ids, size = [ids[i] for i in order], size[order]
+    found, maps = found and [found[i] for i in order], Bitmaps([bits[i] for i in order])
+    left, out = np.arange(len(ids)), []
     while len(left):
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             p = todo.pop()
-            n = size[left]
-            mine = int(size[p])
-            a, b = np.searchsorted(n, [-(-mine * num // den), mine * den // num + 1])
+            mine, n = int(size[p]), size[left]
+            low = -(-mine * num // den)
+            a, b = np.searchsorted(n, [low, mine * den // num + 1])
+            if a == b:
+                continue
+            first, rows = maps.at(width(min(low, mine)))
             total = n[a:b] + mine
             need = -(-total * num // (num + den))
-            apart = np.bitwise_count(bits[left[a:b]] ^ bits[p]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(rows[left[a:b] - first] ^ rows[p - first]).sum(1, dtype=np.int64)
             near = np.flatnonzero(total - apart >= 2 * need)  # the overlap is at most (total - apart) / 2
             hit = [] if found else (a + near).tolist()
             for i in range(0, len(near) if found else 0, 512):
@@ -247,10 +272,11 @@ def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> D
     known_sets = staged(texts.mapInArrow(_recall(words), "d1 bigint, n bigint, bits binary, shingles binary"), "candidate-sets")
 
     # first by bitmaps within each group, so that a common passage doesn't chain texts together; then exactly
-    maybe = _tiles(groups.join(known_sets.select("d1", "n", "bits"), "d1"), num, den)
-    close = components(_by_tile(maybe, n).mapInArrow(_tested(num, den, False), "a bigint, b bigint"))
-    near = _tiles(known_sets.join(close.withColumnRenamed("node", "d1"), "d1"), num, den)
-    linked = components(_by_tile(near, n).mapInArrow(_tested(num, den, True), "a bigint, b bigint"))
+    sizes = known_sets.select("d1", "n")
+    maybe = _by_tile(_tiles(groups.join(sizes, "d1"), num, den), known_sets.select("d1", "n", "bits"), n)
+    close = components(maybe.mapInArrow(_tested(num, den, False), "a bigint, b bigint"))
+    near = _by_tile(_tiles(close.withColumnRenamed("node", "d1").join(sizes, "d1"), num, den), known_sets, n)
+    linked = components(near.mapInArrow(_tested(num, den, True), "a bigint, b bigint"))
     rooted = class_.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "d1").alias("root"))
     first = rooted.filter("n > 0").groupBy("root").agg(F.min("rep").alias("component"))
     named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component", "root")
@@ -293,12 +319,14 @@ def _recall(words: int):
 
 
 def _set_rows(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-    bits = [x.tobytes() for x in bitmaps(found)]
+    bits = [bitmap(h) for h in found]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["d1", "n", "bits", "shingles"])
 
 
-def _by_tile(members: DataFrame, n: int) -> DataFrame:
-    return members.withColumn("tile", F.explode("tiles")).drop("tiles").repartition(n, "tile").sortWithinPartitions("tile")
+def _by_tile(members: DataFrame, known_sets: DataFrame, n: int) -> DataFrame:
+    """What the tiles hold, sorted by tile; the sets join only here, once."""
+    spread = members.select("d1", F.explode("tiles").alias("tile"))
+    return spread.join(known_sets, "d1").repartition(n, "tile").sortWithinPartitions("tile")
 
 
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
