@@ -55,15 +55,15 @@ def fingerprint(df: DataFrame, text: str, name: str, bitmap: str) -> DataFrame:
     """df with `name`: the hashes of the whole list and of each subset, '-' for an empty one."""
     df = df.withColumn("_terms", F.expr(f"transform(array_sort({_words(text)}), w -> named_struct('w', w, 'h', xxhash64(w)))"))
     df = df.withColumn("_terms", F.expr(f"filter(_terms, t -> getbit(element_at({bitmap}, cast(shiftright(pmod(t.h, {1 << SLOT_BITS}), 6) as int) + 1), cast(t.h & 63 as int)) = 1)"))
-    shift, parts = SLOT_BITS, ["_terms"]
-    for k, bits in enumerate(LEVELS):
-        df = df.withColumn(f"_level{k}", F.expr(f"filter(_terms, t -> (shiftright(t.h, {shift}) & {(1 << bits) - 1}) < {SUBSETS})"))
-        parts += [f"filter(_level{k}, t -> (shiftright(t.h, {shift}) & {(1 << bits) - 1}) = {j})" for j in range(SUBSETS)]
-        shift += bits
-    df = df.withColumns({f"_s{i}": F.expr(p) for i, p in enumerate(parts)})
-    hashed = [f"if(size(_s{i}) = 0, '-', substr(lpad(hex(xxhash64(_s{i}.w)), 16, '0'), 1, 8))" for i in range(len(parts))]
-    df = df.withColumn(name, F.expr(f"array({', '.join(hashed)})"))
-    return df.drop("_terms", *(f"_level{k}" for k in range(len(LEVELS))), *(f"_s{i}" for i in range(len(parts))))
+    at, levels = SLOT_BITS, []
+    for bits in LEVELS:
+        levels.append(f"named_struct('by', {at}, 'mask', {(1 << bits) - 1}L)")
+        at += bits
+    hashed = "if(size({0}) = 0, '-', substr(lpad(hex(xxhash64({0})), 16, '0'), 1, 8))"
+    df = df.withColumn("_levels", F.expr(f"transform(array({', '.join(levels)}), l -> named_struct('by', l.by, 'mask', l.mask, 'terms', filter(_terms, t -> (shiftright(t.h, l.by) & l.mask) < {SUBSETS})))"))
+    subset = "transform(filter(l.terms, t -> (shiftright(t.h, l.by) & l.mask) = j), t -> t.w)"
+    df = df.withColumn("_subsets", F.expr(f"concat(array(transform(_terms, t -> t.w)), flatten(transform(_levels, l -> transform(sequence(0, {SUBSETS - 1}), j -> {subset}))))"))
+    return df.withColumn(name, F.expr(f"transform(_subsets, s -> {hashed.format('s')})")).drop("_terms", "_levels", "_subsets")
 
 
 def likeness(a: str, b: str) -> Column:
