@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,26 +21,6 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(low.toDF("u", "v")).distinct(), "links")
+        last, now = now, staged(small.union(low.toDF("u", "v")).distinct(), "links")
+        discard(last)
     return now.toDF("node", "root").union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def forest(a, b) -> tuple[list[int], list[int]]:
-    """Links (node, root) with the same components as the given ones, one for each node but the roots."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while (parent := up.get(top, top)) != top:
-            top = parent
-        while (parent := up.get(x, x)) != top:
-            up[x] = top
-            x = parent
-        return top
-
-    for x, y in zip(a, b, strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-    nodes = list(up)
-    return nodes, [find(x) for x in nodes]

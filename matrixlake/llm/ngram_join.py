@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blobs, textarrays as ta
-from .common import partitions, staged
+from .common import discard, partitions, staged
 from .graphs import components
 
 U64 = np.uint64
@@ -277,6 +277,7 @@ def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> D
     close = components(maybe.mapInArrow(_tested(num, den, False), "a bigint, b bigint"))
     near = _by_tile(_tiles(close.withColumnRenamed("node", "d1").join(sizes, "d1"), num, den), known_sets, n)
     linked = components(near.mapInArrow(_tested(num, den, True), "a bigint, b bigint"))
+    discard(groups, known_sets)
     rooted = class_.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "d1").alias("root"))
     first = rooted.filter("n > 0").groupBy("root").agg(F.min("rep").alias("component"))
     named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component", "root")
