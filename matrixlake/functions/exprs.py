@@ -138,3 +138,18 @@ def scales(width: Column, height: Column, try_harder: bool = False, max_downscal
         k *= 2
     half = F.lit(try_harder) & (auto != 2) & (F.least(width, height) / 2 >= 21)
     return F.concat(F.when(auto > 1, F.array(auto)).otherwise(F.array().cast("array<int>")), F.array(F.lit(1)), F.when(half, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
+
+
+def element_points(points: Column, fit: Column, video: tuple[Column, Column], element: tuple[Column, Column]) -> Column:
+    """Points of a video shown in an element by object-fit, which centres it; a size of 0 leaves them as they are.
+
+    fill stretches each way; contain and cover keep the ratio and show all of it, or leave no gap; none keeps the size;
+    scale-down is the smaller of none and contain.
+    """
+    (vw, vh), (ew, eh) = video, element
+    across, down = ew / vw, eh / vh
+    inside = F.least(across, down)
+    even = F.when(fit == "cover", F.greatest(across, down)).when(fit == "none", 1.0).when(fit == "scale-down", F.least(F.lit(1.0), inside)).otherwise(inside)
+    sx, sy = F.when(fit == "fill", across).otherwise(even), F.when(fit == "fill", down).otherwise(even)
+    moved = F.transform(points, lambda p: F.struct((p["x"] * sx + (ew - vw * sx) / 2).alias("x"), (p["y"] * sy + (eh - vh * sy) / 2).alias("y")))
+    return F.when((vw > 0) & (vh > 0) & (ew > 0) & (eh > 0), moved).otherwise(points)
