@@ -54,8 +54,18 @@ def throttle(df: DataFrame, keys: list[str], per_second: float, ts: str = "ts",
 
 
 def xor_bytes(raw: Column) -> Column:
-    """Exclusive or of all bytes."""
-    return F.aggregate(F.filter(F.split(F.regexp_replace(F.hex(raw), "(..)", "$1,"), ","), lambda x: x != ""), F.lit(0), lambda a, x: a.bitwiseXOR(F.conv(x, 16, 10).cast("int")))
+    """Exclusive or of all bytes, seven at a time; zeros fill the last group and change nothing."""
+    groups = F.regexp_extract_all(F.concat(F.hex(raw), F.lit("0" * 12)), F.lit("[0-9A-F]{14}"), F.lit(0))
+    folded = F.aggregate(groups, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.conv(x, 16, 10).cast("bigint")))
+    once = F.array(folded)  # named, so that the fold isn't computed for each of its bytes
+    return F.element_at(F.transform(once, lambda v: _bytes_of(v)), 1)
+
+
+def _bytes_of(v: Column) -> Column:
+    out = F.shiftright(v, 48)
+    for k in range(0, 48, 8):
+        out = out.bitwiseXOR(F.shiftright(v, k))
+    return out.bitwiseAND(255).cast("int")
 
 
 def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = ()) -> DataFrame:
