@@ -97,15 +97,30 @@ def deduplicate_stream(df: DataFrame, keys: list[str], ts: str = "ts", window_ms
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for part in [pd.concat(list(frames))]:
-            part = part.sort_values([ts, *order], kind="stable")
-            ms = part[ts].astype("datetime64[ms]").astype("int64")
-            keep = []
-            for t in ms:
-                keep.append(window_ms <= 0 or last is None or t - last >= window_ms)
-                last = int(t)
-            state.update((last,))
-            yield part[keep][columns]
+        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
+        keep = []
+        for t in part[ts].astype("datetime64[ms]").astype("int64"):
+            keep.append(window_ms <= 0 or last is None or t - last >= window_ms)
+            last = int(t)
+        state.update((last,))
+        yield part[keep][columns]
+
+    return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttle_stream(df: DataFrame, keys: list[str], per_second: float, ts: str = "ts", order: list[str] = ()) -> DataFrame:
+    """The rows of a stream that throttle() would take; state is the last row taken of each key."""
+    columns, least = df.columns, 1000 / per_second
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
+        keep = []
+        for t in part[ts].astype("datetime64[ms]").astype("int64"):
+            keep.append(last is None or t - last >= least)
+            last = int(t) if keep[-1] else last
+        state.update((last,))
+        yield part[keep][columns]
 
     return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 

@@ -81,6 +81,12 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted((r.ms, r.text) for r in got) == [(10, "abcd"), (20, "abcd"), (70_000, "abcd")]
 
 
+def test_throttle_stream(spark, tmp_path):
+    rows = [{"key": "a", "ms": t} for t in (0, 50, 100, 101, 199, 200, 350)] + [{"key": "b", "ms": 30}]
+    got = streamed(spark, tmp_path, "key string, ms bigint", [rows[:2], rows[2:5], rows[5:]], lambda s: scanner.throttle_stream(at(s), ["key"], 10))
+    assert sorted((r.key, r.ms) for r in got) == [("a", 0), ("a", 100), ("a", 200), ("a", 350), ("b", 30)]
+
+
 CASES = [
     ("WIFI:T:WPA;S:my\\;net;P:a\\:b;H:true;;", {"type": "wifi", "ssid": "my;net", "password": "a:b", "security": "WPA", "hidden": True}),
     ("WIFI:S:x;T:nopass;P:zz;;", {"type": "wifi", "ssid": "x", "security": "nopass"}),
