@@ -13,14 +13,22 @@ from .codec import DecodeError, decode, read_version
 
 #: Limits of the detector.
 FLAT, TINY, PROFILE, MOST_PATTERNS, TIMING = 16, 48, 0.25, 12, 0.7
+#: Pixels that are turned gray at once.
+STRIP = 1 << 14
 
 
 def gray_of(data: bytes, width: int, height: int) -> np.ndarray:
     """Luma of an RGBA buffer; alpha is ignored."""
     if len(data) < 4 * width * height:
         raise DecodeError("frame", "the buffer is shorter than the frame")
-    p = np.frombuffer(data, np.uint8, 4 * width * height).reshape(height, width, 4).astype(np.uint32)
-    return ((77 * p[..., 0] + 150 * p[..., 1] + 29 * p[..., 2]) >> 8).astype(np.uint8)
+    pixels, out = np.frombuffer(data, "<u4", width * height), np.empty(width * height, np.uint8)
+    for at in range(0, len(pixels), STRIP):  # whole pixels, red lowest, in strips that stay in the cache
+        p = pixels[at : at + STRIP]
+        luma = (p & 255) * np.uint32(77)
+        luma += (p >> 8 & 255) * np.uint32(150)
+        luma += (p >> 16 & 255) * np.uint32(29)
+        out[at : at + STRIP] = luma >> 8
+    return out.reshape(height, width)
 
 
 def downscale(gray: np.ndarray, factor: int) -> np.ndarray:
@@ -39,8 +47,14 @@ def otsu(histogram: np.ndarray) -> int:
     return int((best[0] + best[-1]) >> 1) + 1 if between.max() > 0 else 127
 
 
+def window(n: int, boxes: int, tile: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of the boxes of two pixels around the middle of each tile of a side of n pixels."""
+    middle = (np.arange(0, n, tile) + tile // 2) // 2
+    return np.maximum(middle - half, 0), np.minimum(middle + half + 1, boxes)
+
+
 def binarize(gray: np.ndarray) -> np.ndarray:
-    """Dark modules: below the mean of a window around them, and below half of the frame's own threshold at least."""
+    """Dark pixels: below 7/8 of the mean of a window around their tile, or below half of the frame's own threshold."""
     h, w = gray.shape
     step = 1 if min(h, w) < TINY else 2
     histogram = np.bincount(gray[::step, ::step].ravel(), minlength=256)
@@ -51,13 +65,16 @@ def binarize(gray: np.ndarray) -> np.ndarray:
     if min(h, w) < TINY:
         return gray < split
     half = int(min(40, max(8, np.floor(min(h, w) / 10 + 0.5))))
-    sums = np.zeros((h + 1, w + 1), np.int64)
-    sums[1:, 1:] = gray.cumsum(0, dtype=np.int64).cumsum(1)
-    y0, y1 = (np.clip(np.arange(h) + d, 0, h) for d in (-half, half + 1))
-    x0, x1 = (np.clip(np.arange(w) + d, 0, w) for d in (-half, half + 1))
-    total = sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]
-    area = (y1 - y0)[:, None] * (x1 - x0)
-    return gray < np.maximum(total * 7 // (area * 8), split >> 1)
+    rows, cols, tile = h // 2, w // 2, max(2, half // 8)
+    pairs = gray[: 2 * rows : 2, : 2 * cols].astype(np.uint16) + gray[1 : 2 * rows : 2, : 2 * cols]
+    sums = np.zeros((rows + 1, cols), np.int64)
+    np.cumsum(pairs[:, ::2] + pairs[:, 1::2], 0, out=sums[1:])
+    (y0, y1), (x0, x1) = window(h, rows, tile, half // 2), window(w, cols, tile, half // 2)
+    bands = np.zeros((len(y0), cols + 1), np.int64)  # only the rows of tiles go on to the second sum
+    np.cumsum(sums[y1] - sums[y0], 1, out=bands[:, 1:])
+    pixels = 4 * (y1 - y0)[:, None] * (x1 - x0)
+    cut = np.maximum(-(-7 * (bands[:, x1] - bands[:, x0]) // (8 * pixels)), split >> 1).astype(np.uint8)
+    return gray < cut.repeat(tile, 1)[:, :w].repeat(tile, 0)[:h]
 
 
 def profiles(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +176,11 @@ def apply(h: np.ndarray, x, y) -> tuple[np.ndarray, np.ndarray]:
 def sample(bits: np.ndarray, x, y) -> tuple[np.ndarray, np.ndarray]:
     """The nearest pixels, light outside; and which lie inside."""
     i, j = np.floor(y).astype(int), np.floor(x).astype(int)
-    inside = (i >= 0) & (j >= 0) & (i < bits.shape[0]) & (j < bits.shape[1])
-    return np.where(inside, bits[np.clip(i, 0, bits.shape[0] - 1), np.clip(j, 0, bits.shape[1] - 1)], False), inside
+    h, w = bits.shape
+    if i.size and i.min() >= 0 and j.min() >= 0 and i.max() < h and j.max() < w:
+        return bits[i, j], np.ones(i.shape, bool)
+    inside = (i >= 0) & (j >= 0) & (i < h) & (j < w)
+    return np.where(inside, bits[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)], False), inside
 
 
 def reach(bits: np.ndarray, a: Pattern, b: Pattern) -> float | None:
@@ -178,7 +198,9 @@ def module_between(bits: np.ndarray, a: Pattern, b: Pattern) -> float:
     return sum(both) / len(both) if both else (a.module + b.module) / 2
 
 
-_RING = np.maximum(*np.abs(np.mgrid[-2:3, -2:3])) != 1
+_I, _J = (g.ravel() for g in np.mgrid[-2:3, -2:3])
+_RING = np.maximum(abs(_I), abs(_J)) != 1
+_INNER = np.maximum(abs(_I), abs(_J)) < 2
 
 
 def alignment_centre(bits: np.ndarray, x: float, y: float, u: np.ndarray, v: np.ndarray) -> tuple[float, float] | None:
@@ -186,11 +208,15 @@ def alignment_centre(bits: np.ndarray, x: float, y: float, u: np.ndarray, v: np.
     step = max(0.5, min(np.hypot(*u), np.hypot(*v)) / 4)
     k = int(5 * max(np.hypot(*u), np.hypot(*v)) / step)
     dy, dx = (g.ravel() * step for g in np.mgrid[-k : k + 1, -k : k + 1])
-    i, j = (g.ravel() for g in np.mgrid[-2:3, -2:3])
-    seen, _ = sample(bits, (x + dx)[:, None] + j * u[0] + i * v[0], (y + dy)[:, None] + j * u[1] + i * v[1])
-    match = (seen == _RING.ravel()).sum(1)
-    if match.max() < 22:
-        return None
+    match = np.zeros(len(dx), int)
+    for part in (_INNER, ~_INNER):  # three of 25 modules may differ, so what misses more of the inner nine is out
+        i, j = _I[part], _J[part]
+        seen, _ = sample(bits, (x + dx)[:, None] + (j * u[0] + i * v[0]), (y + dy)[:, None] + (j * u[1] + i * v[1]))
+        match += (seen == _RING[part]).sum(1)
+        least = match >= (6 if part is _INNER else 22)
+        dx, dy, match = dx[least], dy[least], match[least]
+        if not len(match):
+            return None
     best = np.flatnonzero(match == match.max())
     near = best[np.argmin(dx[best] ** 2 + dy[best] ** 2)]
     own = best[np.hypot(dx[best] - dx[near], dy[best] - dy[near]) < 1.5 * max(np.hypot(*u), np.hypot(*v))]
