@@ -7,7 +7,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tables import ALPHANUMERIC, FORMATS, LEVEL_BITS, VERSIONS, alignment, blocks, size_of
@@ -138,3 +139,31 @@ def symbols(df: DataFrame, text: str, level: str = "M", render_scale: int | None
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=arrow)
 
     return df.mapInArrow(work, schema)
+
+
+def side_by_side(df: DataFrame, left: str, right: str, level: str = "M", scale: int = 6, gap: int = 24) -> DataFrame:
+    """df with an RGBA frame (data, width, height) that shows the symbols of two text columns."""
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("data binary, width int, height int").fields])
+    arrow = _schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part, frames = batch.slice(i, 100), []
+                for two in zip(part.column(left).to_pylist(), part.column(right).to_pylist(), strict=True):
+                    a, b = (render(encode(t, level), scale) for t in two)
+                    frame = np.full((max(len(a), len(b)), a.shape[1] + gap + b.shape[1]), 255, np.uint8)
+                    frame[: len(a), : a.shape[1]], frame[: len(b), -b.shape[1] :] = a, b
+                    frames.append(frame)
+                made = [pa.array([rgba(f) for f in frames], pa.binary()), *(pa.array([f.shape[k] for f in frames], pa.int32()) for k in (1, 0))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=arrow)
+
+    return df.mapInArrow(work, schema)
+
+
+def damaged(matrix: Column, version: int, codewords: Column, most: int = 8) -> Column:
+    """Matrices of this version with one module flipped in each of the first `codewords` codewords, `most` at most."""
+    rows, cols = order(version)
+    places = F.slice(F.array(*[F.lit(int(rows[8 * k] * size_of(version) + cols[8 * k]) + 1) for k in range(most)]), F.lit(1), codewords.cast("int"))
+    light, dark = F.unhex(F.lit("00")), F.unhex(F.lit("01"))
+    return F.aggregate(places, matrix, lambda m, at: F.overlay(m, F.when(F.substr(m, at, F.lit(1)) == dark, light).otherwise(dark), at, F.lit(1)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs, tables
 from ..functions.content import parse_content
 from ..operators import codec, encode, relational, scan
+from ..sources import frames
 from ..streaming import scanner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,17 +140,18 @@ def q_bch_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "f.data", "f.distance")
 
 
-def _clmul() -> str:
+def _clmul(source: str, more: str = "") -> str:
+    """WITH steps from ab (a, b, more) to p7, where p is the product of a and b: carry-less, then reduced bit by bit."""
     out = "0"
     for i in range(8):
         out = f"xor({out}, CASE WHEN (b >> {i}) & 1 = 1 THEN a << {i} ELSE 0 END)"
-    steps = [f"p0 AS (SELECT a, b, {out} AS p FROM ab)"]
+    steps = [f"ab AS ({source})", f"p0 AS (SELECT {more}a, b, {out} AS p FROM ab)"]
     for k, i in enumerate(range(14, 7, -1)):
-        steps.append(f"p{k + 1} AS (SELECT a, b, CASE WHEN (p >> {i}) & 1 = 1 THEN xor(p, {0x11D << (i - 8)}) ELSE p END AS p FROM p{k})")
-    return "WITH ab AS (SELECT l_partkey % 256 AS a, l_suppkey % 256 AS b FROM lineitem), " + ", ".join(steps) + " SELECT a, b, p AS product, count(*) AS n FROM p7 GROUP BY a, b, p"
+        steps.append(f"p{k + 1} AS (SELECT {more}a, b, CASE WHEN (p >> {i}) & 1 = 1 THEN xor(p, {0x11D << (i - 8)}) ELSE p END AS p FROM p{k})")
+    return ", ".join(steps)
 
 
-@query("q_gf_mul", _clmul())
+@query("q_gf_mul", f"WITH {_clmul('SELECT l_partkey % 256 AS a, l_suppkey % 256 AS b FROM lineitem')} SELECT a, b, p AS product, count(*) AS n FROM p7 GROUP BY a, b, p")
 def q_gf_mul(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 256).alias("a"), (F.col("l_suppkey") % 256).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     return pairs.select("a", "b", exprs.gf_mul(F.col("a").cast("int"), F.col("b").cast("int")).cast("bigint").alias("product"), "n")
@@ -174,8 +176,8 @@ def q_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_image_roundtrip", "SELECT s_suppkey, s_name AS text, 'text' AS type, 6.0::DOUBLE AS module FROM supplier")
 def q_image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = encode.symbols(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", render_scale=6)
-    return scan.decode_frames(frames.select("s_suppkey", "data", "width", "height")).select("s_suppkey", "text", "content.type", F.round("module_size").alias("module"))
+    made = encode.symbols(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", render_scale=6)
+    return scan.decode_frames(made.select("s_suppkey", "data", "width", "height")).select("s_suppkey", "text", "content.type", F.round("module_size").alias("module"))
 
 
 @query("q_part_symbols", "SELECT p_partkey, p_name AS text, NULL::VARCHAR AS error_code FROM part")
@@ -230,3 +232,169 @@ def q_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_luma", "SELECT l_orderkey, l_linenumber, ((77 * (l_partkey % 256) + 150 * (l_suppkey % 256) + 29 * (l_orderkey % 256)) >> 8) AS luma FROM lineitem")
 def q_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", exprs.luma(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256).alias("luma"))
+
+
+@query("q_version_bch", "SELECT p_partkey, (7 + p_partkey % 34)::INTEGER AS version, (p_partkey % 4)::INTEGER AS distance FROM part")
+def q_version_bch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flips = F.expr("shiftleft(shiftleft(1, cast(p_partkey % 4 as int)) - 1, cast(p_partkey % 15 as int))")
+    bits = exprs.version_codeword(7 + F.col("p_partkey") % 34).bitwiseXOR(flips)
+    found = read(spark, sf_dir, "part").select("p_partkey", bits.alias("bits")).select("p_partkey", exprs.nearest(F.col("bits"), list(tables.VERSIONS.items())).alias("v"))
+    return found.select("p_partkey", F.col("v.data").alias("version"), "v.distance")
+
+
+@query("q_rs_corrected", "SELECT c_custkey, c_name AS text, (c_custkey % 9)::INTEGER AS corrected FROM customer")
+def q_rs_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode.symbols(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name")
+    hurt = made.withColumn("matrix", encode.damaged(F.col("matrix"), 2, F.col("c_custkey") % 9))
+    return codec.decode_matrices(hurt).select("c_custkey", "text", F.col("ecc.codewords_corrected").alias("corrected"))
+
+
+@query("q_rs_refused", "SELECT c_custkey, 'error-correction' AS error_code FROM customer")
+def q_rs_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode.symbols(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name")
+    hurt = made.withColumn("matrix", encode.damaged(F.col("matrix"), 2, F.lit(20), most=20))
+    return codec.decode_matrices(hurt).select("c_custkey", "error_code")
+
+
+@query("q_multi", "SELECT n_nationkey, n_name AS text FROM nation UNION ALL SELECT n_nationkey, n_name || ' ' || n_nationkey FROM nation")
+def q_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat_ws(" ", "n_name", "n_nationkey").alias("second"))
+    made = encode.side_by_side(pairs, "n_name", "second")
+    return scan.decode_all_frames(made.select("n_nationkey", "data", "width", "height"), parse_content=False).select("n_nationkey", "text")
+
+
+@query("q_detect", "SELECT n_nationkey, symbol_seq::INTEGER AS symbol_seq, 6.0::DOUBLE AS module, 4 AS corners FROM nation, range(2) r(symbol_seq)")
+def q_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("left "), "n_name").alias("a"), F.concat(F.lit("right "), "n_name").alias("b"))
+    found = scan.detect_frames(encode.side_by_side(pairs, "a", "b").select("n_nationkey", "data", "width", "height"))
+    return found.select("n_nationkey", "symbol_seq", F.round("module_size").alias("module"), F.size("corner_points").alias("corners"))
+
+
+@query("q_detection_rate", "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'inverted' ELSE 'low contrast' END AS scenario, count(*) AS frames, 1.0::DOUBLE AS rate FROM supplier GROUP BY 1")
+def q_detection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode.symbols(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_name", render_scale=4)
+    scenario = F.when(F.col("s_suppkey") % 3 == 0, "clean").when(F.col("s_suppkey") % 3 == 1, "inverted").otherwise("low contrast")
+    changed = lambda levels: F.unhex(F.translate(F.hex("data"), "F0", levels))
+    shown = F.when(F.col("scenario") == "clean", F.col("data")).when(F.col("scenario") == "inverted", changed("0F")).otherwise(changed("A6"))
+    scanned = scan.scan_frames(made.withColumn("scenario", scenario).withColumn("data", shown).drop("matrix", "size"), try_harder=True)
+    hit = F.exists(F.coalesce("results", F.array()), lambda r: r["text"] == F.col("s_name"))
+    return scanned.groupBy("scenario").agg(F.count("*").alias("frames"), F.avg(hit.cast("double")).alias("rate"))
+
+
+_PIXELS = "SELECT o_orderkey // 256 AS frame, (o_orderkey % 16)::INTEGER AS x, (o_orderkey // 16 % 16)::INTEGER AS y, (floor(o_totalprice)::BIGINT % 256)::INTEGER AS luma FROM orders"
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pixels of frames of 16 by 16."""
+    return read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 256").alias("frame"), F.expr("cast(o_orderkey % 16 as int)").alias("x"), F.expr("cast(o_orderkey div 16 % 16 as int)").alias("y"), F.expr("cast(floor(o_totalprice) % 256 as int)").alias("luma"))
+
+
+@query("q_integral", f"WITH p AS ({_PIXELS}) SELECT a.frame, a.x, a.y, sum(b.luma)::BIGINT AS total FROM p a JOIN p b ON a.frame = b.frame AND b.x <= a.x AND b.y <= a.y GROUP BY ALL")
+def q_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.integral(pixels(spark, sf_dir), ["frame"]).select("frame", "x", "y", "total")
+
+
+@query("q_downscale", f"SELECT frame, x // 3 AS x, y // 3 AS y, (sum(luma) // 9)::INTEGER AS luma FROM ({_PIXELS}) WHERE x < 15 AND y < 15 GROUP BY ALL")
+def q_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = pixels(spark, sf_dir).withColumns({"width": F.lit(16), "height": F.lit(16)})
+    return relational.downscale(sized, ["frame"], 3)
+
+
+@query(
+    "q_triples",
+    """WITH p AS (SELECT c_custkey // 10 AS frame, c_custkey AS id, (c_custkey * 37 % 211)::DOUBLE AS x, (c_custkey * 53 % 197)::DOUBLE AS y, (3 + c_custkey % 3)::DOUBLE AS m FROM customer),
+t AS (SELECT a.frame, a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy,
+    (greatest(a.m, b.m, c.m) - least(a.m, b.m, c.m)) / ((a.m + b.m + c.m) / 3) AS spread, (a.m + b.m + c.m) / 3 AS mean
+  FROM p a JOIN p b ON a.frame = b.frame AND a.id <> b.id JOIN p c ON b.frame = c.frame AND c.id NOT IN (a.id, b.id)),
+d AS (SELECT *, sqrt((bx - cx) * (bx - cx) + (by_ - cy) * (by_ - cy)) AS long_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS u, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) AS v,
+    abs((bx - ax) * (cx - ax) + (by_ - ay) * (cy - ay)) AS dot, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS turn FROM t),
+g AS (SELECT *, least(u, v) AS short_, greatest(u, v) AS middle FROM d WHERE turn > 0 AND long_ > u AND long_ > v)
+SELECT frame, i AS top_left, j AS top_right, k AS bottom_left,
+  round(spread + (middle - short_) / middle + 2 * abs(long_ - sqrt(u * u + v * v)) / long_ + dot / (u * v), 6) AS score
+FROM g WHERE spread <= 0.5 AND short_ / mean BETWEEN 9 AND 185 AND (middle - short_) / middle <= 0.6 AND dot / (u * v) <= 0.5""",
+)
+def q_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    patterns = read(spark, sf_dir, "customer").select(F.expr("c_custkey div 10").alias("frame"), k.alias("pattern_id"), (k * 37 % 211).cast("double").alias("x"), (k * 53 % 197).cast("double").alias("y"), (3 + k % 3).cast("double").alias("module"), F.lit(2).alias("count"))
+    return relational.corner_triples(patterns, ["frame"]).select("frame", "top_left", "top_right", "bottom_left", F.round("score", 6).alias("score"))
+
+
+@query(
+    "q_distinct_places",
+    """WITH RECURSIVE p AS (SELECT o_custkey, o_orderpriority, o_orderkey, (o_orderkey * 7 % 100)::DOUBLE AS x, (o_orderkey * 11 % 90)::DOUBLE AS y, (30 + o_orderkey % 60)::DOUBLE AS d,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT o_custkey, o_orderpriority, n, o_orderkey, [{'x': x, 'y': y, 'd': d}] AS kept, true AS new FROM p WHERE n = 1
+  UNION ALL SELECT p.o_custkey, p.o_orderpriority, p.n, p.o_orderkey,
+    CASE WHEN len(list_filter(f.kept, lambda k: sqrt((k.x - p.x) * (k.x - p.x) + (k.y - p.y) * (k.y - p.y)) < greatest(k.d, p.d) / 2)) = 0 THEN list_append(f.kept, {'x': p.x, 'y': p.y, 'd': p.d}) ELSE f.kept END,
+    len(list_filter(f.kept, lambda k: sqrt((k.x - p.x) * (k.x - p.x) + (k.y - p.y) * (k.y - p.y)) < greatest(k.d, p.d) / 2)) = 0
+  FROM f JOIN p ON p.o_custkey = f.o_custkey AND p.o_orderpriority = f.o_orderpriority AND p.n = f.n + 1)
+SELECT o_custkey, o_orderpriority, o_orderkey FROM f WHERE new""",
+)
+def q_distinct_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    found = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", (k * 7 % 100).alias("x"), (k * 11 % 90).alias("y"), (30 + k % 60).alias("diagonal"))
+    return relational.distinct_places(found, ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query(
+    "q_data_modules",
+    """SELECT v::INTEGER AS version, ((16 * v + 128) * v + 64 - CASE WHEN v > 1 THEN (25 * (v // 7 + 2) - 10) * (v // 7 + 2) - 55 ELSE 0 END - CASE WHEN v > 6 THEN 36 ELSE 0 END)::BIGINT AS modules
+FROM range(1, 41) t(v)""",
+)
+def q_data_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.dimensions(spark)
+    return relational.data_modules(d["qr_version"], d["qr_alignment"])
+
+
+@query(
+    "q_poly_product",
+    f"""WITH f AS (SELECT p_partkey AS k, unnest([{{'i': 0, 'c': p_partkey % 256}}, {{'i': 1, 'c': p_size % 256}}, {{'i': 2, 'c': 3}}]) AS s FROM part),
+g AS (SELECT p_partkey AS k, unnest([{{'i': 0, 'c': p_size * 5 % 256}}, {{'i': 1, 'c': 7}}]) AS t FROM part),
+{_clmul("SELECT f.k, (s.i + t.i)::INTEGER AS power, s.c::BIGINT AS a, t.c::BIGINT AS b FROM f JOIN g ON f.k = g.k", "k, power, ")}
+SELECT k AS p_partkey, power, bit_xor(p)::INTEGER AS coefficient FROM p7 GROUP BY ALL""",
+)
+def q_poly_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    terms = lambda *cs: part.select("p_partkey", F.posexplode(F.array(*[c.cast("int") for c in cs])).alias("power", "coefficient"))
+    return relational.poly_product(terms(F.col("p_partkey") % 256, F.col("p_size") % 256, F.lit(3)), terms(F.col("p_size") * 5 % 256, F.lit(7)), ["p_partkey"])
+
+
+@query(
+    "q_regions",
+    """SELECT p_partkey, l AS x, t AS y, greatest(1, least(50, 120 - l))::INTEGER AS width, greatest(1, least(p_size, 100 - t))::INTEGER AS height
+FROM (SELECT *, greatest(0, least(p_partkey % 300 - 90, 119))::INTEGER AS l, greatest(0, least(floor(p_retailprice)::BIGINT % 150 - 20, 99))::INTEGER AS t FROM part)""",
+)
+def q_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area = exprs.clamped_region(F.col("p_partkey") % 300 - 90 + F.lit(0.5), F.floor("p_retailprice") % 150 - 20, F.lit(50.75), F.col("p_size"), F.lit(120), F.lit(100))
+    return read(spark, sf_dir, "part").select("p_partkey", area.alias("r")).select("p_partkey", "r.*")
+
+
+@query("q_scales", "SELECT p_partkey, CASE WHEN greatest(w, h) > 2000 THEN '4,1,2' WHEN greatest(w, h) > 1000 THEN '2,1' WHEN least(w, h) >= 42 THEN '1,2' ELSE '1' END AS passes FROM (SELECT p_partkey, p_partkey * 7 % 3000 + 200 AS w, p_size * 30 + 20 AS h FROM part)")
+def q_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = exprs.scales((F.col("p_partkey") * 7 % 3000 + 200).cast("int"), F.col("p_size") * 30 + 20, try_harder=True, max_downscale=4)
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(plan, lambda k: k.cast("string")), ",").alias("passes"))
+
+
+@query("q_external", "SELECT c_custkey, c_name AS text, 0 AS version, 'M' AS ec_level, -1 AS mask, (c_nationkey + 25) / 25 AS module FROM customer WHERE c_custkey % 4 > 0")
+def q_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = (F.col("c_nationkey") + 25).cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    o = F.lit(0.0)
+    corners = F.slice(F.array(point(o, o), point(side, o), point(side, side), point(o, side)), F.lit(1), F.when(F.col("c_custkey") % 4 == 0, 3).otherwise(4))
+    found = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("frame_id"), F.lit(0).alias("seq"), F.col("c_name").alias("text"), corners.alias("corner_points"))
+    return frames.external_results(found).select("c_custkey", "text", "version", "ec_level", "mask", F.col("module_size").alias("module"))
+
+
+@query(
+    "q_content_fields",
+    """SELECT s_suppkey, ['sms', 'email', 'email', 'geo', 'wifi', 'vcard', 'text'][s_suppkey % 7 + 1] AS type,
+  CASE s_suppkey % 7 WHEN 0 THEN 'a+b ' || s_suppkey WHEN 1 THEN 'x y' WHEN 2 THEN 'hello' WHEN 4 THEN 'nopass' WHEN 5 THEN 'Org ' || s_suppkey WHEN 6 THEN 'tel: +' || s_suppkey || chr(10) || 'x' END AS one,
+  CASE s_suppkey % 7 WHEN 1 THEN s_name || '@example.org' WHEN 2 THEN s_name WHEN 5 THEN s_name END AS two, CASE s_suppkey % 7 WHEN 3 THEN s_suppkey + 0.5 END::DOUBLE AS altitude FROM supplier""",
+)
+def q_content_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.expr("""CASE s_suppkey % 7 WHEN 0 THEN concat('sms:+1', s_suppkey, '?body=a+b%20', s_suppkey) WHEN 1 THEN concat('MAILTO:', replace(s_name, '#', '%23'), '@example.org?subject=x+y')
+      WHEN 2 THEN concat('MATMSG:TO:', s_name, ';BODY:hello;;') WHEN 3 THEN concat('geo:1.5,-2,', s_suppkey, '.5;u=3') WHEN 4 THEN concat('wifi:S:', s_name, ';T:nopass;P:secret;;')
+      WHEN 5 THEN concat('BEGIN:VCARD\\r\\nFN;X=1: ', s_name, ' \\r\\nORG:Org ', s_suppkey, '\\r\\nEND:VCARD') ELSE concat('tel: +', s_suppkey, '\\nx') END""")
+    c = read(spark, sf_dir, "supplier").select("s_suppkey", payload.alias("p")).select("s_suppkey", parse_content(F.col("p")).alias("c"))
+    one = F.coalesce("c.message", "c.subject", "c.body", "c.security", "c.org", "c.text")
+    return c.select("s_suppkey", "c.type", one.alias("one"), F.coalesce("c.email_to", "c.name", "c.password").alias("two"), "c.altitude")
