@@ -68,11 +68,12 @@ def _bytes_of(v: Column) -> Column:
     return out.bitwiseAND(255).cast("int")
 
 
-def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = ()) -> DataFrame:
+def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = ()) -> DataFrame:
     """Joined payloads of symbols with a header (index, total, parity), text and bytes; one row for each sighting that completes.
 
     Parts meet by keys, total and parity; the latest of an index counts; a pause of more than ttl_ms drops them.
     Headers with total < 2 or index >= total give nothing, and wrong parity withholds. Rows without header pass.
+    The columns named in `last` come from the part with the last index, all others from the sighting.
     """
     bucket = [*keys, "total", "parity"]
     whole = df.filter(F.col("total").isNull())
@@ -81,12 +82,13 @@ def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL
     line = Window.partitionBy(*bucket).orderBy(*_order(ts, list(order)))
     parts = parts.withColumn("_gap", F.coalesce((ms - F.lag(ms).over(line) > ttl_ms).cast("int"), F.lit(0)))
     parts = parts.withColumn("_session", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.withColumn("_part", F.struct("text", "bytes", xor_bytes(F.col("bytes")).alias("x")))
+    parts = parts.withColumn("_part", F.struct("text", "bytes", xor_bytes(F.col("bytes")).alias("x"), *[F.col(c).alias(f"last_{c}") for c in last]))
     upto = Window.partitionBy(*bucket, "_session").orderBy(*_order(ts, list(order))).rowsBetween(Window.unboundedPreceding, 0)
     slots = [F.last(F.when(F.col("index") == i, F.col("_part")), ignorenulls=True).over(upto) for i in range(PARTS)]
     parts = parts.withColumn("_slots", F.slice(F.array(*slots), F.lit(1), F.col("total")))
     good = F.forall("_slots", lambda p: p.isNotNull()) & (F.aggregate("_slots", F.lit(0), lambda a, p: a.bitwiseXOR(p["x"])) == F.col("parity"))
     own = [c for c in df.columns if c not in ("text", "bytes")]
+    own = [F.element_at("_slots", -1)[f"last_{c}"].alias(c) if c in last else F.col(c) for c in own]
     joined = parts.filter(good).select(*own, F.array_join(F.transform("_slots", lambda p: p["text"]), "").alias("text"), F.unhex(F.array_join(F.transform("_slots", lambda p: F.hex(p["bytes"])), "")).alias("bytes"))
     return joined.unionByName(whole.select(joined.columns))
 
@@ -125,14 +127,17 @@ def throttle_stream(df: DataFrame, keys: list[str], per_second: float, ts: str =
     return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def reassemble_stream(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = ()) -> DataFrame:
-    """reassemble() for a stream of symbols that have a header; state is the latest part of each index."""
-    columns = df.columns
+def reassemble_stream(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = ()) -> DataFrame:
+    """reassemble() for a stream; state is the latest part of each index. Columns in `last` are numbers or texts."""
+    columns, names = df.columns, list(last)
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)
         out = []
         part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
+        if part["total"].isna().all():  # total is a key: these have no header
+            yield part[columns]
+            return
         ms = part[ts].astype("datetime64[ms]").astype("int64")
         for row, t in zip(part.to_dict("records"), ms, strict=True):
             if row["total"] < 2 or row["index"] >= row["total"]:
@@ -140,14 +145,14 @@ def reassemble_stream(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: in
             if last is not None and t - last > ttl_ms:
                 seen = {}
             last = int(t)
-            seen[str(row["index"])] = [row["text"], bytes(row["bytes"]).hex()]
+            seen[str(int(row["index"]))] = [row["text"], bytes(row["bytes"]).hex(), {c: row[c] for c in names}]
             got = [seen.get(str(i)) for i in range(int(row["total"]))]
             if all(got):
                 raw, parity = b"".join(bytes.fromhex(g[1]) for g in got), 0
                 for b in raw:
                     parity ^= b
                 if parity == row["parity"]:
-                    out.append(row | {"text": "".join(g[0] for g in got), "bytes": raw})
+                    out.append(row | got[-1][2] | {"text": "".join(g[0] for g in got), "bytes": raw})
         state.update((json.dumps(seen), last if last is not None else 0))
         yield pd.DataFrame(out, columns=columns)
 
