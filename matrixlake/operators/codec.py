@@ -93,8 +93,9 @@ def layout(version: int, level: str) -> list[np.ndarray]:
     return [np.array(x) for x in out]
 
 
-def bits_of(modules: np.ndarray) -> int:
-    return int("".join("1" if m else "0" for m in modules), 2)
+def bits_at(m: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> int:
+    """The number that modules spell, most significant bit first."""
+    return int.from_bytes(np.packbits(m[rows, cols]).tobytes(), "big") >> -len(rows) % 8
 
 
 def format_places(n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -109,13 +110,20 @@ def version_places(n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]
     return places, [(c, r) for r, c in places]
 
 
+@cache
+def places_of(kind: str, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of both copies of the format or version information."""
+    copies = format_places(n) if kind == "format" else version_places(n)
+    return [tuple(np.array(x) for x in zip(*places, strict=True)) for places in copies]
+
+
 def read_nearest(readings: list[int], table: list[tuple[int, int]]) -> int | None:
     best = min(((min((r ^ c).bit_count() for r in readings), sum((r ^ c).bit_count() for r in readings), i, d) for i, (d, c) in enumerate(table)))
     return best[3] if best[0] <= 3 else None
 
 
 def read_format(m: np.ndarray) -> tuple[str, int]:
-    data = read_nearest([bits_of([m[p] for p in places]) for places in format_places(len(m))], list(enumerate(FORMATS)))
+    data = read_nearest([bits_at(m, *p) for p in places_of("format", len(m))], list(enumerate(FORMATS)))
     if data is None:
         raise DecodeError("format-info")
     return next(k for k, b in LEVEL_BITS.items() if b == data >> 3), data & 7
@@ -123,19 +131,25 @@ def read_format(m: np.ndarray) -> tuple[str, int]:
 
 def read_version(m: np.ndarray) -> int | None:
     """The version that a symbol of 7 or more declares; None if it can't be read."""
-    return read_nearest([bits_of([m[p] for p in places]) for places in version_places(len(m))], list(VERSIONS.items()))
+    return read_nearest([bits_at(m, *p) for p in places_of("version", len(m))], list(VERSIONS.items()))
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == 0) | (b == 0), 0, EXP[LOG[a] + LOG[b]])
 
 
+@cache
+def exponents(n: int, checks: int) -> np.ndarray:
+    """Of each root, a row, the exponents that it has at the places of a block."""
+    return np.arange(checks)[:, None] * np.arange(n - 1, -1, -1) % 255
+
+
 def correct(word: np.ndarray, checks: int) -> int:
     """Corrects a block in place (highest power first); returns how many codewords it changed."""
     n = len(word)
     powers = np.arange(n - 1, -1, -1)
-    nonzero = word != 0
-    syndromes = [int(np.bitwise_xor.reduce(np.where(nonzero, EXP[(LOG[word] + k * powers) % 255], 0))) for k in range(checks)]
+    some = np.flatnonzero(word)
+    syndromes = np.bitwise_xor.reduce(EXP[exponents(n, checks)[:, some] + LOG[word[some]]], 1).tolist()
     if not any(syndromes):
         return 0
     gf = lambda a, b: int(EXP[LOG[a] + LOG[b]]) if a and b else 0

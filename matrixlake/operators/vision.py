@@ -204,10 +204,15 @@ _INNER = np.maximum(abs(_I), abs(_J)) < 2
 
 
 def alignment_centre(bits: np.ndarray, x: float, y: float, u: np.ndarray, v: np.ndarray) -> tuple[float, float] | None:
-    """The centre of the alignment pattern near a predicted point; u and v are a module's steps."""
+    """The centre of the alignment pattern near a predicted point; u and v are a module's steps. Two modules around first, then five."""
+    return _centre_within(bits, x, y, u, v, 2) or _centre_within(bits, x, y, u, v, 5)
+
+
+def _centre_within(bits: np.ndarray, x: float, y: float, u: np.ndarray, v: np.ndarray, reach_: int) -> tuple[float, float] | None:
     step = max(0.5, min(np.hypot(*u), np.hypot(*v)) / 4)
-    k = int(5 * max(np.hypot(*u), np.hypot(*v)) / step)
-    dy, dx = (g.ravel() * step for g in np.mgrid[-k : k + 1, -k : k + 1])
+    k = int(reach_ * max(np.hypot(*u), np.hypot(*v)) / step)
+    side = np.arange(-k, k + 1) * step
+    dx, dy = np.tile(side, len(side)), side.repeat(len(side))
     match = np.zeros(len(dx), int)
     for part in (_INNER, ~_INNER):  # three of 25 modules may differ, so what misses more of the inner nine is out
         i, j = _I[part], _J[part]
