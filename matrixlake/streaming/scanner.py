@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 TTL_MS, WINDOW_MS, PARTS = 30_000, 1500, 16
+#: Windows in a span of time by which a key is cut.
+SPAN = 16
 
 
 def _order(ts: str, order: list[str]) -> list[Column]:
@@ -24,12 +26,18 @@ def _order(ts: str, order: list[str]) -> list[Column]:
 
 
 def deduplicate(df: DataFrame, keys: list[str], ts: str = "ts", window_ms: int = WINDOW_MS, order: list[str] = ()) -> DataFrame:
-    """df with `emit`: never seen, or not sighted for window_ms. Every sighting counts, emitted or not."""
+    """df with `emit`: never seen, or not sighted for window_ms. Every sighting counts, emitted or not.
+
+    A key is cut into spans of time that are no shorter than the window, so that a frequent one lies in many tasks; the
+    last sighting of a span goes ahead of the next one's, which is all that the next one needs to know.
+    """
     if window_ms <= 0:
         return df.withColumn("emit", F.lit(True))
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    gap = ms - F.lag(ms).over(Window.partitionBy(*keys).orderBy(*_order(ts, list(order))))
-    return df.withColumn("emit", F.coalesce(gap >= window_ms, F.lit(True)))
+    rows = df.withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("_span", F.floor(F.col("_ms") / (SPAN * window_ms)))
+    last = rows.filter("_ms is not null").groupBy(*keys, "_span").agg(F.max("_ms").alias("_ms")).withColumn("_span", F.col("_span") + 1)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(last.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    gap = F.col("_ms") - F.lag("_ms").over(Window.partitionBy(*keys, "_span").orderBy("_ms", *_order(ts, list(order))))
+    return both.withColumn("emit", F.coalesce(gap >= window_ms, F.lit(True))).filter("_own").select(*df.columns, "emit")
 
 
 def throttle(df: DataFrame, keys: list[str], per_second: float, ts: str = "ts", order: list[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ def test_deduplicate(spark):
     assert all(r.emit for r in scanner.deduplicate(df, ["key"], window_ms=0).collect())
 
 
+def test_deduplicate_across_spans(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(t)) for k in "ab" for t in np.cumsum(rng.choice([0, 1, 9, 10, 11, 170], 400))]
+    want, last = [], {}
+    for i, (k, t) in enumerate(rows):
+        want.append((i, k not in last or t - last[k] >= 10))
+        last[k] = t
+    df = at(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "i int, key string, ms bigint"))
+    got = scanner.deduplicate(df, ["key"], window_ms=10, order=["i"])
+    assert sorted((r.i, r.emit) for r in got.collect()) == want
+    none = df.limit(2).withColumn("ts", F.lit(None).cast("timestamp"))
+    assert [r.emit for r in scanner.deduplicate(none, ["key"]).collect()] == [True, True]
+
+
 def test_throttle(spark):
     rows = [("a", t) for t in (0, 50, 100, 101, 199, 200, 350)] + [("b", 30)]
     df = at(spark.createDataFrame(rows, "key string, ms bigint"))
