@@ -1,4 +1,4 @@
-"""Names for SQL: the content classifier, the matrix decoder and the frame scanner as table function."""
+"""Names for SQL: the matrix decoder, and the frame scanner as table function."""
 
 from __future__ import annotations
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import clamped_region
+
 
 def image_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames of image files: source, width, height and RGBA data. Spark decodes to BGR or BGRA; channels are put in order here."""
@@ -25,6 +27,42 @@ def image_frames(spark: SparkSession, path: str) -> DataFrame:
     return i.mapInArrow(reorder, "source string, width int, height int, data binary")
 
 
+def raw_frames(spark: SparkSession, path: str, width: int, height: int, stream: bool = False) -> DataFrame:
+    """Frames of files that hold RGBA pixels of one size: source, ts (when the file was written), width, height and data."""
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if stream else spark.read
+    files = reader.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("source"), F.col("modificationTime").alias("ts"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.col("content").alias("data"))
+
+
+def cropped(df: DataFrame, x: Column, y: Column, width: Column, height: Column) -> DataFrame:
+    """df with its frames cut to a rectangle, which is held within each frame; `origin` is where that begins.
+
+    NULL and short buffers stay as they are, for the scan to report. Scan, then move the points back by live.in_frame().
+    """
+    area = clamped_region(x, y, width, height, F.col("width"), F.col("height"))
+    fits = F.length("data") >= F.col("width").cast("bigint") * F.col("height") * 4
+    marked = df.withColumn("origin", F.when(fits, area))
+    kind = marked.schema
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for raw, w, h, r in zip(*(b.column(c) for c in ("data", "width", "height", "origin")), strict=True):
+                raw, w, h, r = raw.as_py(), w.as_py(), h.as_py(), r.as_py()
+                if r is None:
+                    out.append((raw, w, h))
+                    continue
+                part = np.frombuffer(raw, np.uint8, 4 * w * h).reshape(h, w, 4)[r["y"] : r["y"] + r["height"], r["x"] : r["x"] + r["width"]]
+                out.append((part.tobytes(), r["width"], r["height"]))
+            new = dict(zip(("data", "width", "height"), zip(*out, strict=True), strict=True)) if out else {}
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else b.column(f.name) for f in b.schema], schema=b.schema)
+
+    return marked.mapInArrow(cut, kind)
+
+
 def valid_frames(df: DataFrame) -> DataFrame:
     """Frames whose buffer holds all their pixels."""
     return df.filter(F.length("data") >= F.col("width").cast("bigint") * F.col("height") * 4)

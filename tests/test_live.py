@@ -1,8 +1,10 @@
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from matrixlake.operators import encode
+from matrixlake.operators import encode, scan
+from matrixlake.sources import frames as sources
 from matrixlake.streaming import live
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -62,3 +64,23 @@ def test_live_scan_of_a_stream(spark, tmp_path):
     through(live.decodes(seen, ["source"]), "decodes")
     assert emitted(spark.read.parquet(str(tmp_path / "decodes"))) == WANT
     assert spark.read.parquet(str(tmp_path / "errors")).count() == 1
+
+
+def test_crops_and_raw_files(spark, tmp_path):
+    one = encode.render(encode.encode("inside", "M"), 4)
+    wide = np.full((one.shape[0] + 40, one.shape[1] + 300), 255, np.uint8)
+    wide[30 : 30 + one.shape[0], 250 : 250 + one.shape[1]] = one
+    (tmp_path / "f0.rgba").write_bytes(encode.rgba(wide))
+    (tmp_path / "f1.rgba").write_bytes(b"short")
+    h, w = wide.shape
+    df = sources.raw_frames(spark, str(tmp_path), w, h)
+    part = sources.cropped(df, F.lit(240.7), F.lit(-5), F.lit(9999), F.lit(h + 50))
+    scanned = live.in_frame(scan.scan_frames(part), F.col("origin.x"), F.col("origin.y")).orderBy("source").collect()
+    assert [(r.origin and tuple(r.origin), r.error_code) for r in scanned] == [((240, 0, w - 240, h), None), (None, "frame")]
+    whole = {r.text: r.corner_points for r in scan.decode_frames(df).collect()}
+    (got,) = scanned[0].results
+    assert got.text == "inside"
+    assert all(abs(a.x - b.x) < 1 and abs(a.y - b.y) < 1 for a, b in zip(got.corner_points, whole["inside"], strict=True))
+    stream = sources.raw_frames(spark, str(tmp_path), w, h, stream=True)
+    assert stream.isStreaming
+    assert stream.schema == df.schema
