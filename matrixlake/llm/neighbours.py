@@ -3,8 +3,8 @@
 Centroids come from balanced splits of a bounded sample of vectors. Every vector goes to its nearest centroid's list, and
 near a boundary to others too: those not much farther, unless a list already chosen lies closer to them than the vector
 does. A query walks a graph of the centroids, kept in memory by each task, and reads the lists whose centroid is at most
-RATIO times as far as the best, and on until they hold ENOUGH vectors. Lists are cut into blocks, so none is
-too long for a task. Equal vectors count as one while searching; of each, as many smallest ids are kept as
+RATIO times as far as the best, and on until they hold ENOUGH vectors; where the walk ends before that ratio, all
+centroids are compared, so no number of lists is the limit. Lists are cut into blocks, so none is too long for a task. Equal vectors count as one while searching; of each, as many smallest ids are kept as
 a result can hold, which loses nothing.
 
 Scores are exact: cosines of the original vectors in double precision, equal vectors with equal scores; ties go to the
@@ -102,6 +102,19 @@ def far(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * cosine))
 
 
+def chosen(graph: Graph, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The lists to read, nearest first: all within RATIO, and on until they hold ENOUGH vectors; own: vectors by list."""
+    near, d = graph.search(q)
+    if d[-1] <= RATIO * d[0]:  # the beam was too narrow; one as wide as the graph compares all centroids
+        near, d = graph.search(q, len(graph.c))
+    n = int((d <= RATIO * d[0]).sum())
+    while own[near[:n]].sum() < ENOUGH and n < len(graph.c):
+        if n == len(near):
+            near, d = graph.search(q, len(graph.c))
+        n += 1
+    return near[:n]
+
+
 def members(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, is its first) for each list that a row of unit vectors x belongs to."""
     d = far(x @ c.T)
@@ -187,13 +200,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             to, block, raw = [], [], []
             for v in batch.column("v").to_pylist():
                 q = unit(np.frombuffer(v, np.float32).astype(np.float64)[None])[0]
-                near, d = graph.search(q)
-                n = int((d <= RATIO * d[0]).sum())
-                while own[near[:n]].sum() < ENOUGH and n < len(c):
-                    if n == len(near):  # the beam was too narrow
-                        near, d = graph.search(q, len(c))
-                    n += 1
-                for j in near[:n].tolist():
+                for j in chosen(graph, q, own).tolist():
                     for b in range(blocks[j]):
                         to.append(j)
                         block.append(b)

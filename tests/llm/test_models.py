@@ -174,6 +174,23 @@ def test_recall_on_the_given_vectors(spark):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_queries_as_far_from_all_lists_read_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 16)  # 750 lists, all within the ratio of these queries
+    x = np.random.default_rng(9).normal(size=(12_000, 64))
+    x[:, 52:] = 0
+    x[::1000] *= 0.3
+    x[np.arange(12) * 1000, 52 + np.arange(12)] = 7  # each in a direction of its own
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>").repartition(8)
+    u, got = neighbours.unit(x.astype(np.float64)), {}
+    for r in neighbours.nearest(df, every=1000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = u[::1000] @ u.T
+    s[np.arange(12), np.arange(12) * 1000] = -2
+    hits = sum(len(set(np.argsort(-s[n])[:5].tolist()) & got[1000 * n]) for n in range(12))
+    assert hits == 5 * 12, f"HITS {hits} of 60"
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "repeats", "mixing", "packing"]
