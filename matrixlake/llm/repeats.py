@@ -15,7 +15,8 @@ A window is a repeat if an equal one starts earlier: in a smaller doc_id, or ear
 repeats go. Windows never cross texts and are judged on the input.
 
 Fingerprints are 64 bits and stand for the suffix order of the dictionary: a suffix array over all tasks would have to be
-built in one place. Phrases are matched by over 80 bits in all, windows by 64 and their bucket.
+built in one place. Phrases are matched by 64 bits beside those of their trigger, windows by 64 and their
+bucket; the 16 bits a side only say which windows to compare.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows of one doc_id are texts of their own,
 neither of which is earlier than the other at the same place; a null doc_id comes before all others; an empty table gives
@@ -89,7 +90,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Spans,
 
 
 #: key, phrase, left, right, doc, tag, first window, windows. Bucket and key are different bits of the trigger's hash.
-RECORD = ["u4", "u4", "u2", "u2", "i8", "u4", "u4", "u1"]
+RECORD = ["u4", "u8", "u2", "u2", "i8", "u4", "u4", "u1"]
 REPLY = ["i8", "u4", "u4", "u2"]  # doc, tag, first window, windows; times two, plus one if they still have to be compared
 WINDOW = ["u8", "i8", "u4", "u4"]  # fingerprint, doc, tag, first byte
 #: What moves: blocks of phrases or windows, of replies, and of documents.
@@ -111,13 +112,12 @@ def _later(doc: np.ndarray, at: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 def _sorted(fields: list[np.ndarray], bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by key, phrase and corpus; whether each record then goes on with the key, with the phrase."""
-    key, phrase, left, right, doc, tag, at, count = fields
+    key, phrase, _, _, doc, tag, at, count = fields
     key = key if bucket is None else key.astype(U64) << U64(32) | bucket.astype(U64)
-    whole = phrase.astype(U64) << U64(32) | left.astype(U64) << U64(16) | right  # with the sides, 64 bits beyond the key
-    order = np.lexsort((tag, at, doc, count, whole, key))
+    order = np.lexsort((tag, at, doc, count, phrase, key))
     go_on = lambda x: np.concatenate([[False], x[order][1:] == x[order][:-1]])
     same_key = go_on(key)
-    return order, same_key, same_key & go_on(whole) & go_on(count)
+    return order, same_key, same_key & go_on(phrase) & go_on(count)
 
 
 def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def _parse(length: int, buckets: int):
                 right = np.where(after < half, spans.hash(trigger, reach) >> U64(48) | U64(1), U64(0))
                 phrase = spans.hash(start, count + length - 1) + before.astype(U64) * U64(0xD6E8FEB86659FD93)
                 bucket = (key & U64(0xFFFFFFFF)) % U64(buckets)
-                held.append([bucket.astype(np.int64), (key >> U64(32)).astype(np.uint32), (phrase >> U64(32)).astype(np.uint32), left.astype(np.uint16), right.astype(np.uint16), docs[i + text], tags[i + text], (start - offsets[text]).astype(np.uint32), count.astype(np.uint8)])
+                held.append([bucket.astype(np.int64), (key >> U64(32)).astype(np.uint32), phrase, left.astype(np.uint16), right.astype(np.uint16), docs[i + text], tags[i + text], (start - offsets[text]).astype(np.uint32), count.astype(np.uint8)])
                 size += len(key)
                 if size >= FLUSH:
                     yield from _batches(flush())

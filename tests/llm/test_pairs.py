@@ -6,8 +6,9 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
-from matrixlake.llm import ngram_join, repeats
+from matrixlake.llm import blobs, ngram_join, repeats
 
 SCHEMA = "doc_id bigint, text string, n bigint, tag string, d1 string, root string"  # some names that the operators use themselves
 
@@ -164,3 +165,18 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert got[2][1:] == ("x", "fr", 1)
     assert got[1][0] == 1 and got[1][2] == "fr" and got[1][3] == len(got[1][1])
     assert docs.columns == repeats.without_repeats(docs).columns
+
+
+def test_phrases_are_told_apart_by_all_bits(monkeypatch):
+    """Phrases around one passage, too short to repeat, whose fingerprints agree in the upper 32 bits."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = some(99)
+    texts = [some(80) + passage + some(80) for _ in range(400)]
+    whole = repeats.Spans.hash
+    monkeypatch.setattr(repeats.Spans, "hash", lambda self, start, length: np.where(np.asarray(length) >= 100, whole(self, start, length) & np.uint64(0xFFFFFFFF), whole(self, start, length)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), pa.array(texts)], names=["doc", "tag", "text"])
+    sent = list(repeats._parse(100, 1)([batch]))
+    replies = [b for x in [*sent, *repeats._dictionary(1)(sent)] for k, b in zip(x["kind"].to_pylist(), x["block"].to_pylist(), strict=True) if k == repeats.REPLIES]
+    _, _, _, count = blobs.unpack(replies, repeats.REPLY)
+    assert not (count & 1 == 0).any()  # nothing is taken as a whole repeat unseen
