@@ -246,13 +246,18 @@ def odds(toxic, clean, toxics: float, cleans: float):
 
 
 def choose(rows: list, toxics: int, cleans: int) -> list[tuple[str, bool, int]]:
-    """Words and stems by log-odds; a word goes under a stem that is as telling, a stem under a shorter one."""
+    """Words and stems by log-odds; a word goes under a stem that is as telling, a stem under a shorter one.
+
+    Stems allow no edit, so long words under one follow the others, as many again at most, to be found misspelled.
+    """
     scored = sorted(((len(r.term), r.stem, -float(odds(r.toxic, r.clean, toxics, cleans)), r.term, r.toxic) for r in rows), key=lambda r: (r[0], not r[1], r[3]))
     stems: dict[str, tuple[float, int]] = {}
-    out = []
+    out, under = [], []
     for n, stem, minus, term, toxic in scored:
         above = [stems[term[:k]] for k in range(STEM[0], n + (not stem)) if term[:k] in stems]
         if any(-minus <= o + 0.5 for o, _ in above):
+            if not stem and n >= EDIT_FROM:
+                under.append((minus * np.sqrt(toxic), term, stem, 1))
             continue
         if stem:
             words = [r for r in scored if not r[1] and r[3].startswith(term)]
@@ -261,7 +266,7 @@ def choose(rows: list, toxics: int, cleans: int) -> list[tuple[str, bool, int]]:
             stems[term] = (-minus, toxic)
         edits = int(n >= (STEM_EDIT_FROM if stem else EDIT_FROM))
         out.append((minus * np.sqrt(toxic), term, stem, edits))
-    return [x[1:] for x in sorted(out)[:LEXICON]]
+    return [x[1:] for x in sorted(out)[:LEXICON] + sorted(under)[:LEXICON]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, rows: int) -> Model:

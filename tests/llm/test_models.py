@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -103,6 +104,17 @@ def test_automaton_against_edit_distance():
     assert [None if g < 0 else int(g) % 4 for g in got] == [plain_match(w, terms) for w in words]
 
 
+def test_misspelled_words_under_a_stem_are_found():
+    counts = [("idiot", False, 20), ("idiots", False, 20), ("idiotic", False, 20), ("idiot", True, 40), ("idio", True, 60), ("scum", False, 20)]
+    terms = toxicity.choose([Row(term=t, stem=s, toxic=n, clean=0) for t, s, n in counts], 100, 1000)
+    assert any(stem for _, stem, _ in terms)
+    words = ["idiot", "idiots", "idiotically", "idoiot", "ixiots", "idxotic", "scum", "scam"]
+    letters = np.array([ord(c) for c in " ".join(words)], np.uint32)
+    letters[letters == 32] = 0
+    got = toxicity.Automaton(terms).read(letters, *toxicity.spans(letters))
+    assert [None if g < 0 else int(g) % 4 for g in got] == [0, 0, 0, 1, 1, 1, 0, None]
+
+
 def test_quotation_is_told_from_abuse():
     text = 'you idiot. ... ' + "bla " * 30 + '"idiot" ' + "bla " * 30 + "he said idiot"
     _, _, _, quoted, reported = toxicity.slice_hits(toxicity.Automaton([("idiot", False, 1)]), [text])
