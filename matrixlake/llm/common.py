@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,12 +30,13 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_matrixlake", False):
         return
-    with tempfile.TemporaryDirectory() as d:
-        path = os.path.join(d, "matrixlake.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted((ROOT / "matrixlake").rglob("*.py")):
-                z.write(p, p.relative_to(ROOT))
-        sc.addPyFile(path)
+    d = tempfile.mkdtemp()  # only the driver's archive of the code; executors fetch it whenever they start
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "matrixlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((ROOT / "matrixlake").rglob("*.py")):
+            z.write(p, p.relative_to(ROOT))
+    sc.addPyFile(path)
     sc._matrixlake = True
 
 
@@ -46,13 +48,34 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="matrixlake-")
-    import atexit
-
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
+class scratch:  # noqa: N801
+    """with scratch() as s: what is staged within goes at its end, but for what s.keep() names, which is the outer one's then."""
+
+    open: list[scratch] = []
+
+    def __enter__(self) -> scratch:
+        self.paths: dict[str, SparkSession] = {}
+        scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        scratch.open.remove(self)
+        for path, spark in self.paths.items():
+            _delete(spark, path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        spark = self.paths.pop(df._staged)
+        outer = scratch.open[: scratch.open.index(self)]
+        if outer:
+            outer[-1].paths[df._staged] = spark
+        return df
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: what follows starts from files that outlive any executor."""
     spark = df.sparkSession
@@ -60,15 +83,22 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    if scratch.open:
+        scratch.open[-1].paths[path] = spark
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more: only what came of them, staged itself, is used from here on."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._staged)
-        path.getFileSystem(conf).delete(path, True)
+        for s in scratch.open:
+            s.paths.pop(df._staged, None)
+        _delete(df.sparkSession, df._staged)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

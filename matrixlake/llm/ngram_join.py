@@ -3,15 +3,19 @@
 A document is the set of hashes of its word n-grams. Equal sets are one class from the start. Two sets within the
 threshold differ in at most k shingles, k following from the size of the smaller; cut the space of hashes into more
 than k parts and they agree on one part at least. So each class sends a signature of each part that isn't empty, for its
-own size band and for the one below where partners can be; classes that share a signature are candidates. (A class with
-too many empty parts also sends its first k + 1 shingles, which is enough for two such classes to meet.)
-
-A group of classes that share a signature and fits is one tile; a larger one is cut by size band, and bands by
-hash, into blocks, and every two blocks of the same or neighbouring bands make a tile, so no pair is missed and none is
-too large. In a tile, parity bitmaps of hashed shingles bound the overlap from above: the bits in which two differ
-are at most their differing shingles. What passes is gathered by connection and tiled in the same way, with the sets
-themselves, and intersected exactly. A tile links each document as it is reached, so
-a group of n near copies costs about n tests and gives n - 1 links, never all pairs.
+own size band and for the one below where partners can be; classes that share a signature are candidates. Small sets,
+whose parts hold few shingles, have two parts more than that and send signatures of every two parts, so that one
+frequent shingle alone brings nobody together. (A class with too many empty parts also sends its first shingles, one
+by one or two by two, which is enough for two such classes to meet.)
+
+A group of classes that share a signature is one tile if it fits; tiles are bounded in rows and in bytes. A larger group
+is cut into blocks, and each block makes a tile with the same few pivots of the group: members of near copies are then
+connected through the pivots, and the work grows with the group, not with its square. Only where members of a large
+group are still apart after that, every two of its blocks that aren't one component already meet in a tile, so no pair is
+missed. In a tile, parity bitmaps of hashed shingles bound the overlap from above: the bits in which two differ are at
+most their differing shingles. What passes is gathered by connection and tiled in the same way, with the sets
+themselves, and intersected exactly. A tile links each document as it is reached, so a group of n near copies costs about
+n tests and gives n - 1 links, never all pairs.
 
 Defined results: null or empty texts, and texts without words, have empty sets and link with nothing; with fewer words
 than n the whole sequence is one shingle; repeated rows link when their sets are equal; a null doc_id counts as the smallest id;
@@ -30,13 +34,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blobs, textarrays as ta
-from .common import discard, partitions, staged
+from .common import discard, partitions, scratch, staged
 from .graphs import components
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
-TILE_ROWS, FLUSH = 1024, 1_000_000
+TILE_ROWS, TILE_BYTES, PIVOTS, FLUSH = 256, 8 << 20, 16, 1_000_000
 BAND_GROWTH = 1.5
+#: Sets that may differ in so many shingles at most send signatures of every two parts.
+PAIRED = 6
+BAND_BITS = 7
+#: Rows of two numbers that are sent to all tasks at most, 2 MB; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Shingles that are intersected with a set at once.
+MEET = 1 << 17
 
 
 def bands(num: int, den: int, growth: float, top: int = 1 << 40) -> list[int]:
@@ -58,6 +69,7 @@ class Signer:
         self.parts = self.differ + np.where(self.differ > 0, 1 + np.maximum(2, np.ceil(self.differ * 0.15).astype(int)), 1)
 
     def sign(self, h: np.ndarray) -> np.ndarray:
+        """Signatures; the lowest bits of each name its size band."""
         n, out = len(h), []
         own = band = int(np.searchsorted(self.low, n, "right")) - 1
         mixed = ta.mix(h)
@@ -66,9 +78,15 @@ class Signer:
             part = ((h >> U64(32)) * U64(m)) >> U64(32)  # h is sorted, so parts are runs of it
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             label = U64((band * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
-            out.append(ta.mix(np.add.reduceat(mixed, starts) + ta.mix(part[starts] + label)))
-            if len(starts) <= k:
-                out.append(ta.mix(ta.mix(h[: k + 1] ^ label) + U64(77)))
+            marks = [ta.mix(np.add.reduceat(mixed, starts) + ta.mix(part[starts] + label))]
+            paired = 1 if 0 < k <= PAIRED else 0  # of m parts at least m - k > 2 agree then
+            if len(starts) <= k + paired:
+                marks.append(ta.mix(ta.mix(h[: k + 1 + paired] ^ label) + U64(77)))
+            for x in marks:
+                if paired:
+                    i, j = np.triu_indices(len(x), 1)
+                    x = ta.mix(x[i] + ta.mix(x[j]))
+                out.append(x >> U64(BAND_BITS) << U64(BAND_BITS) | U64(band))
             band -= 1
         return np.concatenate(out)
 
@@ -135,27 +153,65 @@ def _signatures(words: int, num: int, den: int, buckets: int):
     return work
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each group of classes that share a signature in this task's buckets; equal groups once."""
-    parts = [x for batch in batches for x in batch.column("block").to_pylist()]
-    key, owner = blobs.unpack(parts, ["u8", "i8"])
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[fresh], owner[fresh]
-    if not len(key):
-        return
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(starts, len(key)))
-    group = (np.add.reduceat(ta.mix(owner.astype(U64)), starts) >> U64(1)).astype(np.int64)
-    _, first = np.unique(group, return_index=True)
-    keep = np.zeros(len(starts), bool)
-    keep[first] = True
-    rows = np.repeat(keep & (count > 1), count)
-    group, owner = np.repeat(group, count)[rows], owner[rows]
-    for i in range(0, len(owner), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(group[i : i + 50_000]), pa.array(owner[i : i + 50_000])], names=["root", "d1"])
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each bucket; rows come sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(block)
+    if held:
+        yield held
+
+
+def _meet(low: np.ndarray):
+    """Members of each group of classes that share a signature, by tile; equal groups of a task once."""
+    bitmaps = np.array([width(int(min(n, 1 << 40))) // 8 for n in low])
+    holds, most = np.clip(TILE_BYTES // bitmaps, 8, TILE_ROWS), PIVOTS  # sets that a tile holds, by band
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for blocks in _by_bucket(batches):
+            key, owner = blobs.unpack(blocks, ["u8", "i8"])
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[fresh], owner[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(starts, len(key)))
+            group = (np.add.reduceat(ta.mix(owner.astype(U64)), starts) >> U64(1)).astype(np.int64)
+            _, first = np.unique(group, return_index=True)
+            keep = np.zeros(len(starts), bool)
+            keep[first] = True
+            keep &= count > 1
+            if len(told) < 1_000_000:
+                keep &= np.array([g not in told for g in group.tolist()], bool)
+                told.update(group[keep].tolist())
+            band = (key[starts] & U64((1 << BAND_BITS) - 1)).astype(np.int64)
+            fits = holds[np.minimum(band + 2, len(holds) - 1)]  # partners are less than two bands larger
+            parts = np.where(count <= 2 * fits, 1, -(-count // fits))
+            rows = np.repeat(keep, count)
+            root, d1, n = np.repeat(group, count)[rows], owner[rows], np.repeat(parts, count)[rows]
+            block = (ta.mix(d1.astype(U64)) % n.astype(U64)).astype(np.int64)
+            yield from _members(root, block, d1, n)
+            for g in np.flatnonzero(keep & (parts > 1)).tolist():  # the pivots of a large group are in all of its tiles
+                mine = owner[starts[g] : starts[g] + count[g]][:most]
+                all_ = np.arange(parts[g])
+                yield from _members(np.full(len(mine) * len(all_), group[g]), np.repeat(all_, len(mine)), np.tile(mine, len(all_)), np.full(len(mine) * len(all_), parts[g]))
+
+    return work
+
+
+TILES = "root bigint, block bigint, d1 bigint, blocks bigint"
+
+
+def _members(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000], pa.int64()) for c in columns], names=["root", "block", "d1", "blocks"])
 
 
 def _tested(num: int, den: int, exact: bool):
@@ -173,10 +229,10 @@ def _tested(num: int, den: int, exact: bool):
                 out.extend(links(list(held), np.array(n), bits, found, num, den))
 
         for batch in batches:
-            for tile, d1, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "d1", "n", "bits", *(["shingles"] if exact else []))), strict=True):
-                if tile != now:
+            for root, block, d1, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "block", "d1", "n", "bits", *(["shingles"] if exact else []))), strict=True):
+                if (root, block) != now:
                     close()
-                    now, held = tile, {}
+                    now, held = (root, block), {}
                     if len(out) >= 50_000:
                         yield _links(out)
                         out = []
@@ -245,8 +301,9 @@ def links(ids: list[int], size: np.ndarray, bits: list[bytes], found: list[np.nd
             apart = np.bitwise_count(rows[left[a:b] - first] ^ rows[p - first]).sum(1, dtype=np.int64)
             near = np.flatnonzero(total - apart >= 2 * need)  # the overlap is at most (total - apart) / 2
             hit = [] if found else (a + near).tolist()
-            for i in range(0, len(near) if found else 0, 512):
-                part = near[i : i + 512]
+            step = max(1, MEET // max(mine, 1))
+            for i in range(0, len(near) if found else 0, step):
+                part = near[i : i + step]
                 flat = np.concatenate([found[left[a + j]] for j in part])
                 at = np.minimum(np.searchsorted(found[p], flat), len(found[p]) - 1)
                 same = np.add.reduceat((found[p][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(n[a + part])[:-1]]))
@@ -258,44 +315,48 @@ def links(ids: list[int], size: np.ndarray, bits: list[bytes], found: list[np.nd
 
 
 def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id; also tag, a hash of the text, and group, the same for rows of one component."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
-    base = staged(rows.mapInArrow(_profile(words), "doc_id bigint, tag bigint, n bigint, d1 bigint, d2 bigint"), "shingle-sets")
-    class_ = staged(base.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-
-    n = partitions(spark)
-    sent = rows.select("text").mapInArrow(_signatures(words, num, den, 4 * n), "bucket int, block binary")
-    groups = staged(sent.repartition(n, "bucket").mapInArrow(_meet, "root bigint, d1 bigint").distinct(), "signature-groups")
-    wanted = class_.join(groups.select("d1").distinct(), "d1").select("d1", "d2", F.col("rep").alias("_rep"))
-    texts = rows.join(wanted, F.col("doc_id") == F.col("_rep")).select("text", "d1", "d2")
-    known_sets = staged(texts.mapInArrow(_recall(words), "d1 bigint, n bigint, bits binary, shingles binary"), "candidate-sets")
-
-    # first by bitmaps within each group, so that a common passage doesn't chain texts together; then exactly
-    sizes = known_sets.select("d1", "n")
-    maybe = _by_tile(_tiles(groups.join(sizes, "d1"), num, den), known_sets.select("d1", "n", "bits"), n)
-    close = components(maybe.mapInArrow(_tested(num, den, False), "a bigint, b bigint"))
-    near = _by_tile(_tiles(close.withColumnRenamed("node", "d1").join(sizes, "d1"), num, den), known_sets, n)
-    linked = components(near.mapInArrow(_tested(num, den, True), "a bigint, b bigint"))
-    discard(groups, known_sets)
-    rooted = class_.join(linked, F.col("d1") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "d1").alias("root"))
-    first = rooted.filter("n > 0").groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(first, "root").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component", "root")
-    out = base.join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    known = lambda c: F.when(c != NULL_ID, c)
-    return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "tag", F.col("root").alias("group"))
+    """doc_id, n_shingles, component_id; also tag, a hash of the text, and first, whether the row stands for its component.
+
+    A row without words stands for itself. Rows that repeat one id and text stand for their component together.
+    """
+    n = partitions(docs.sparkSession)
+    with scratch() as s:
+        rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+        base = staged(rows.mapInArrow(_profile(words), "doc_id bigint, tag bigint, n bigint, d1 bigint, d2 bigint"), "shingle-sets")
+        # of each class one row, the first by id and text, stands for it
+        class_ = staged(base.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tag")).alias("rep")), "classes")
+
+        sent = rows.select("text").mapInArrow(_signatures(words, num, den, 4 * n), "bucket int, block binary")
+        tiles = staged(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(Signer(num, den).low), TILES).distinct(), "signature-groups")
+        wanted = class_.join(tiles.select("d1").distinct(), "d1").select("d1", "d2", F.col("rep.doc_id").alias("_id"), F.col("rep.tag").alias("_tag"))
+        texts = rows.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "d1", "d2")
+        known_sets = staged(texts.mapInArrow(_recall(words), "d1 bigint, n bigint, bits binary, shingles binary"), "candidate-sets")
+
+        # first by bitmaps within each group, so that a common passage doesn't chain texts together; then exactly
+        close = connected(tiles, known_sets.select("d1", "n", "bits"), num, den, False)
+        exact = staged(_tiles(close, known_sets), "close-tiles")
+        linked = connected(exact, known_sets, num, den, True)
+        discard(tiles, known_sets, close, exact)
+
+        met = linked.join(class_.select(F.col("d1").alias("node"), "rep"), "node")
+        first = met.groupBy("root").agg(F.min("rep").alias("first"))
+        named = linked.join(first, "root").select(F.col("node").alias("d1"), "first")
+        named = staged(class_.join(named, "d1", "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("first", "rep").alias("first")), "components")
+        out = base.join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+        component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+        stands = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & F.col("first.tag").eqNullSafe(F.col("tag")))
+        known = lambda c: F.when(c != NULL_ID, c)
+        result = staged(out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "tag", stands.alias("first")), "ngram-join")
+        return s.keep(result)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, but of each component only one; rows without words all stay."""
-    rows = classes(docs, words, num, den)
-    id_ = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    first = rows.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(id_.alias("id"), "tag")).alias("first"))
-    stay = first.select("first.id", "first.tag", F.lit(1).alias("most")).union(rows.filter("n_shingles = 0").select(id_, "tag", F.lit(1 << 30)).distinct()).toDF("_id", "_tag", "_most")
-    met = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)), "_tag": F.xxhash64("text")}).join(stay, ["_id", "_tag"])
-    turn = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_most"))
-    return met.withColumn("_turn", turn).filter(F.col("_turn") <= F.col("_most")).select(*docs.columns)
+    stay = classes(docs, words, num, den).filter("first and n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("tag").alias("_tag")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.filter(worded).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_tag"))
+    turn = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_id"))
+    return rows.join(stay, ["_id", "_tag"]).withColumn("turn", turn).filter("turn = 1").select("row.*").union(docs.filter(~worded))
 
 
 def _recall(words: int):
@@ -324,27 +385,59 @@ def _set_rows(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["d1", "n", "bits", "shingles"])
 
 
-def _by_tile(members: DataFrame, known_sets: DataFrame, n: int) -> DataFrame:
-    """What the tiles hold, sorted by tile; the sets join only here, once."""
-    spread = members.select("d1", F.explode("tiles").alias("tile"))
-    return spread.join(known_sets, "d1").repartition(n, "tile").sortWithinPartitions("tile")
-
-
-def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members with the names of the tiles that each is in; root names the group, n is the size of the set."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("all"))
-    low = bands(num, den, 1.0, 1)  # sizes of partners lie in the same band or a neighbouring one
-    while low[-1] < 1 << 40:
-        low.append(low[-1] * den // num + 1)
-    band = F.expr(f"size(filter(cast(split('{','.join(map(str, low))}', ',') as array<bigint>), x -> x <= n))")
-    marked = members.join(sizes, "root").withColumn("band", F.when(F.col("all") <= 2 * TILE_ROWS, 0).otherwise(band))
-    blocks = marked.filter("band > 0").groupBy("root", "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
-    for name, step in (("here", 0), ("above", 1), ("below", -1)):
-        other = blocks.select(F.col("root").alias("_root"), (F.col("band") - step).alias("_band"), F.col("blocks").alias(name))
-        marked = marked.join(other, (F.col("root") == F.col("_root")) & (F.col("band") == F.col("_band")), "left").drop("_root", "_band")
-    marked = marked.withColumn("block", F.pmod(F.xxhash64("d1"), F.coalesce("here", F.lit(1))).cast("int"))
-    many = F.expr("""concat(
-      transform(sequence(0, here - 1), j -> concat_ws(':', root, band, least(block, j), band, greatest(block, j))),
-      if(above is null, array(), transform(sequence(0, coalesce(above, 1) - 1), j -> concat_ws(':', root, band, block, band + 1, j))),
-      if(below is null, array(), transform(sequence(0, coalesce(below, 1) - 1), j -> concat_ws(':', root, band - 1, j, band, block))))""")
-    return marked.withColumn("tiles", F.when(F.col("band") == 0, F.array(F.col("root").cast("string"))).otherwise(many)).select(*members.columns, "tiles")
+def _links_in(tiles: DataFrame, known_sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """The links found in tiles(root, block, d1); the sets join only here."""
+    n = partitions(tiles.sparkSession)
+    held = tiles.select("root", "block", "d1").join(known_sets, "d1").repartition(n, "root", "block").sortWithinPartitions("root", "block")
+    return staged(held.mapInArrow(_tested(num, den, exact), "a bigint, b bigint").distinct(), "links")
+
+
+def connected(tiles: DataFrame, known_sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """(node, root) by the links of all pairs of each group; tiles of more than one block hold a block and the pivots."""
+    with scratch() as s:
+        links = _links_in(tiles, known_sets, num, den, exact)
+        found = components(links)
+        apart = _apart(tiles, found)
+        if apart is not None:
+            found = components(links.union(_links_in(apart, known_sets, num, den, exact)))
+        return s.keep(staged(found, "connected"))
+
+
+def _apart(tiles: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Tiles of every two blocks of a large group that aren't of one component; None if there are no such groups."""
+    large = tiles.filter("blocks > 1").select("root", "d1").distinct()
+    if not large.limit(1).count():
+        return None
+    large = staged(large.join(found.toDF("d1", "c"), "d1", "left").select("root", "d1", F.coalesce("c", "d1").alias("c")), "large-groups")
+    sizes = large.groupBy("root", "c").agg(F.count("*").alias("k"))
+    several = sizes.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") < TILE_ROWS, F.col("k"))).alias("rest")).filter("n > 1")
+    cut = staged(sizes.join(several, "root").select("root", "c", F.when(F.col("k") < TILE_ROWS, F.lit(None)).otherwise(F.col("c")).alias("piece"), F.ceil(F.when(F.col("k") < TILE_ROWS, F.col("rest")).otherwise(F.col("k")) / TILE_ROWS).alias("n")), "pieces")
+    if not cut.limit(1).count():
+        return None
+    # components of many members are pieces of their own; the others lie together in blocks by hash
+    pieces = cut.select("root", "piece", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    name = lambda piece, part: F.xxhash64(F.coalesce(piece, F.lit(0)), piece.isNull(), part)
+    pieces = pieces.select("root", "piece", name(F.col("piece"), F.col("part")).alias("name"))
+    p, q = pieces.toDF("root", "p", "one"), pieces.toDF("root", "q", "two")
+    met = p.join(q, "root").filter((F.col("one") < F.col("two")) & ~F.coalesce(F.col("p") == F.col("q"), F.lit(False)) | (F.col("one") == F.col("two")) & F.col("p").isNull())
+    met = met.select("root", F.xxhash64("root", "one", "two").alias("block"), F.explode(F.array_distinct(F.array("one", "two"))).alias("name"))
+    members = large.join(cut, ["root", "c"]).select("root", "d1", name(F.col("piece"), F.pmod(F.xxhash64("d1"), F.col("n"))).alias("name"))
+    return members.join(met, ["root", "name"]).select("root", "block", "d1")
+
+
+def _tiles(close: DataFrame, known_sets: DataFrame) -> DataFrame:
+    """The tiles of components: one if it fits, else blocks, each with the pivots."""
+    members = close.select(F.col("node").alias("d1"), "root").join(known_sets.select("d1", (8 * F.col("n") + F.length("bits")).alias("weight")), "d1")
+    sizes = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("weight").alias("weight"))
+    large = staged(sizes.select("root", F.greatest(F.ceil(F.col("k") / TILE_ROWS), F.ceil(F.col("weight") / TILE_BYTES)).alias("blocks")).filter("blocks > 2"), "large-components")
+    own = close.select("root", F.lit(0).cast("bigint").alias("block"), F.col("node").alias("d1"), F.lit(1).cast("bigint").alias("blocks"))
+    many = large.count()
+    if not many:
+        return own
+    large = F.broadcast(large) if many <= BROADCAST_ROWS else large
+    marked = own.select("root", "d1").join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("bigint"))
+    own = marked.select("root", F.pmod(F.xxhash64("d1"), F.col("blocks")).alias("block"), "d1", "blocks")
+    # a pivot of each of so many parts by hash: an aggregate, where the smallest of all would take a sort of each component
+    pivots = marked.filter("blocks > 1").groupBy("root", F.pmod(F.xxhash64("root", "d1"), F.lit(PIVOTS)).alias("part")).agg(F.min("d1").alias("d1"), F.first("blocks").alias("blocks"))
+    every = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return own.union(every.select("root", "block", "d1", "blocks")).distinct()
