@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from matrixlake.llm import blobs, ngram_join, repeats
+from matrixlake.llm import graphs, ngram_join, repeats
 
 SCHEMA = "doc_id bigint, text string, n bigint, tag string, d1 string, root string"  # some names that the operators use themselves
 
@@ -85,9 +85,31 @@ def test_small_tiles_lose_nothing(spark, monkeypatch):
     rows = corpus(8)
     whole = sorted(map(str, ngram_join.classes(frame(spark, rows)).collect()))
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
     assert sorted(map(str, ngram_join.classes(frame(spark, rows)).collect())) == whole
 
 
+def test_blocks_of_a_chain_meet_without_its_pivots(spark, monkeypatch):
+    """Texts of which each is near the next only: pivots reach few of them, so blocks must meet."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(75)] + [(900, " ".join(words[:100]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(frame(spark, rows)).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_forests_keep_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1000)]
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(4)).collect()}
+    up = {x: x for x in range(400)}
+    for _ in range(400):
+        for a, b in links[:-1]:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == {x: up[x] for ab in links[:-1] if ab[0] != ab[1] for x in ab}
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     sets = shingle_sets(rows, 5)
@@ -152,7 +174,6 @@ def test_low_entropy_and_flushes(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(50, 400))) + "ab" * rng.randint(0, 200)) for i in range(80)]
     monkeypatch.setattr(repeats, "FLUSH", 50)
-    monkeypatch.setattr(repeats, "WINDOWS", 50)
     monkeypatch.setattr(repeats, "TEXT_BYTES", 500)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.deduplicated(frame(spark, rows)).collect())
     assert got == brute_repeats(rows, 100)
@@ -167,16 +188,37 @@ def test_texts_without_repeats_keep_their_columns(spark):
     assert docs.columns == repeats.without_repeats(docs).columns
 
 
-def test_phrases_are_told_apart_by_all_bits(monkeypatch):
-    """Phrases around one passage, too short to repeat, whose fingerprints agree in the upper 32 bits."""
+def test_phrases_are_told_apart_by_bytes(spark, monkeypatch):
+    """Fingerprints that agree for nearly all phrases only cost time."""
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
-    passage = some(99)
-    texts = [some(80) + passage + some(80) for _ in range(400)]
+    passage, longer = some(99), some(180)
+    rows = [(i, some(80) + (longer if i % 5 == 0 else passage) + some(80)) for i in range(120)]
     whole = repeats.Spans.hash
-    monkeypatch.setattr(repeats.Spans, "hash", lambda self, start, length: np.where(np.asarray(length) >= 100, whole(self, start, length) & np.uint64(0xFFFFFFFF), whole(self, start, length)))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), pa.array(texts)], names=["doc", "tag", "text"])
-    sent = list(repeats._parse(100, 1)([batch]))
-    replies = [b for x in [*sent, *repeats._dictionary(1)(sent)] for k, b in zip(x["kind"].to_pylist(), x["block"].to_pylist(), strict=True) if k == repeats.REPLIES]
-    _, _, _, count = blobs.unpack(replies, repeats.REPLY)
-    assert not (count & 1 == 0).any()  # nothing is taken as a whole repeat unseen
+
+    def weak(self, start, length):
+        h = whole(self, start, length)
+        return np.where(np.asarray(length) >= 100, h & np.uint64(1), h)
+
+    monkeypatch.setattr(repeats.Spans, "hash", weak)
+    text = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array([0] * 120, pa.int64()), pa.array([t for _, t in rows])], names=["doc", "tag", "text"])
+    docs = pa.RecordBatch.from_arrays([*text.columns[:2], text["text"].cast(pa.binary()), pa.array([{"none": 0}] * 120)], names=["doc", "tag", "text", "rest"])
+    schema = pa.schema([("doc", pa.int64()), ("rest", docs["rest"].type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+    told = list(repeats._choose(1)(repeats._parse(100, 1)([text])))
+    half = list(repeats._apply(100, False, 1, schema)([*told, *repeats._sort_texts(1)([docs])]))
+    moved = [b.select(["bucket", "kind", "block"]).filter(pa.array([k == kind for k in b["kind"].to_pylist()])) for kind in (0, 1, 2) for b in half]
+    again = list(repeats._compare(100, 1)([b for b in moved if b.num_rows and b["kind"][0].as_py() < 2]))
+    last = list(repeats._finish(100, False, pa.schema(list(schema)[:7]))([*again, *[b for b in moved if b.num_rows and b["kind"][0].as_py() == 2]]))
+    got = [(r["doc"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for b in [*half, *last] for r in b.to_pylist() if r["doc"] is not None]
+    assert sorted(got) == brute_repeats(rows, 100)
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    size = [140, 100, 230, 12, 101]
+    data, ends = rng.integers(97, 99, sum(size)).astype(np.uint8), np.cumsum(size)
+    data[140:240] = data[20:120]
+    got = repeats.ranks(data, np.repeat(ends, size), 100)
+    strings = {p: data[p : p + 100].tobytes() for e, n in zip(ends.tolist(), size, strict=True) for p in range(e - n, e - 99)}
+    place = {x: i for i, x in enumerate(sorted(set(strings.values())))}
+    assert got.tolist() == [place[strings[p]] if p in strings else -1 for p in range(len(data))]
