@@ -42,8 +42,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text can't forge control ids
+        self.tokenizer = Tokenizer.from_file(path)  # a text that spells a control token gets its id, as the library has it
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -76,10 +75,11 @@ class Encoder:
         """The ids of one piece. A run of Latin letters is one word to the merges; a mark after letters is a word of its own."""
         spaced = self.kind == "spaced" and piece[:1] == " "
         word = piece[1:] if spaced else piece
-        if word.isalpha() and max(word) < LATIN_END:
-            raw = (word if self.kind == "spaced" else word.lower()).encode().decode("latin-1").translate(BYTE_LETTERS)
+        small = word if self.kind == "spaced" else word.lower()  # which is letters and marks for a dotted capital I
+        if small.isalpha() and max(small) < LATIN_END:
+            raw = small.encode().decode("latin-1").translate(BYTE_LETTERS)
             return array("I", [t.id for t in self.tokenizer.model.tokenize(BYTE_LETTERS[32] * spaced + raw)]).tobytes()
-        if word[-1:] in MARKS and word[:-1].isalpha():
+        if small[-1:] in MARKS and small[:-1].isalpha() and max(small[:-1]) < LATIN_END:
             return self.memory[piece[:-1]] + self.memory[piece[-1]]
         return self._direct([piece])[0]
 
