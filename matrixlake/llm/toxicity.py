@@ -2,8 +2,9 @@
 
 The lexicon is learned: words, and word beginnings ("stems"), that labelled toxic documents hold far more often than
 others. Its trie is intersected with the Levenshtein automaton of each walk: a state is the set of (trie node, edits)
-reached, and all states together make one deterministic automaton over letters. It reads all words of a slice at once,
-a numpy gather a letter, so a misspelled term costs no more than any other word. Long terms allow one edit, short none.
+reached, and all states together make one deterministic automaton over letters, whose transitions are made when a word
+first takes them, and kept by the worker for its later tasks. It reads all words of a slice at once, a numpy gather a
+letter, so a misspelled term costs no more than any other word. Long terms allow one edit, short none.
 
 Each hit has the weight that its term, at its number of edits, has in the labelled documents. A window around it looks
 for marks of quotation and for words that report speech; quoted hits are summed apart from plain ones. A logistic model
@@ -30,86 +31,99 @@ from .quality import labelled
 
 SAMPLE_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS, STEM = 20_000, 400, 4, 2.5, (3, 8)
 EDIT_FROM, STEM_EDIT_FROM, WINDOW, SLICE_CHARS = 5, 9, 48, 1 << 19
-MATCH = -2  # in the table: the state of words that hold a stem whatever follows
 QUOTES = np.array([ord(c) for c in "\"«»“”„‟‹›"], np.uint32)
 #: Words that report speech, in the corpus's four languages.
 REPORTS = re.compile(r"\b(said|says|wrote|quot\w*|called|word|term|sagte|schrieb|zitat|wort|dit|écrit|mot|cit\w*|dijo|escribió|palabra)\b", re.I)
 
 
 class Automaton:
-    """The union of the terms' Levenshtein automata on their trie, made deterministic.
+    """The union of the terms' Levenshtein automata on their trie, made deterministic as words are read.
 
     terms: (text, is a stem, edits allowed). After a word, hit[state] is the best (term, edits) or -1.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, int]], most_states: int = 200_000):
-        letters = sorted({c for t, _, _ in terms for c in t})
-        self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other letter
-        nodes: list[dict[str, int]] = [{}]
-        ends: dict[int, list[tuple[int, bool, int]]] = {}
-        allowed = [0]  # edits allowed by some term below the node
+    made: dict[tuple, Automaton] = {}
+
+    @classmethod
+    def of(cls, terms: list[tuple[str, bool, int]]) -> Automaton:
+        """The worker's automaton of these terms; one at a time is kept."""
+        key = tuple(terms)
+        if key not in cls.made:
+            cls.made = {key: cls(terms)}
+        return cls.made[key]
+
+    def __init__(self, terms: list[tuple[str, bool, int]]):
+        self.letters = sorted({c for t, _, _ in terms for c in t})
+        self.terms, self.nodes = terms, [{}]
+        self.ends: dict[int, list[tuple[int, bool, int]]] = {}
+        self.allowed = [0]  # edits allowed by some term below the node
         for k, (text, stem, edits) in enumerate(terms):
             at = 0
-            allowed[0] = max(allowed[0], edits)
+            self.allowed[0] = max(self.allowed[0], edits)
             for c in text:
-                if c not in nodes[at]:
-                    nodes[at][c] = len(nodes)
-                    nodes.append({})
-                    allowed.append(0)
-                at = nodes[at][c]
-                allowed[at] = max(allowed[at], edits)
-            ends.setdefault(at, []).append((k, stem, edits))
-
-        def closed(pairs: set[tuple[int, int]]) -> frozenset:
-            """With the deletions: a letter of the term that the word lacks."""
-            todo, least = list(pairs), {}
-            while todo:
-                node, e = todo.pop()
-                if e > allowed[node] or least.get(node, 9) <= e:
-                    continue
-                least[node] = e
-                todo += [(child, e + 1) for child in nodes[node].values()]
-            return frozenset(least.items())
-
-        def step(state: frozenset, c: str | None) -> frozenset:
-            out = set()
-            for node, e in state:
-                if c in nodes[node]:
-                    out.add((nodes[node][c], e))
-                out.add((node, e + 1))  # an extra letter
-                out.update((child, e + 1) for x, child in nodes[node].items() if x != c)  # another letter
-            return closed(out)
-
-        def best(state: frozenset, stems: bool) -> tuple[int, int] | None:
-            found = [(e, -len(terms[k][0]), k) for node, e in state for k, stem, most in ends.get(node, ()) if e <= most and (stem or not stems)]
-            return (min(found)[2], min(found)[0]) if found else None
-
-        start = closed({(0, 0)})
-        states, table, self.hit, self.stem_hit = {start: 0}, [], [], []
-        todo = [start]
-        while todo:
-            grown = []
-            for state in todo:
-                row = []
-                for c in (None, *letters):
-                    to = step(state, c)
-                    if to not in states:
-                        if len(states) >= most_states:
-                            raise ValueError("the lexicon needs too many states; take fewer terms or edits")
-                        states[to] = len(states)
-                        grown.append(to)
-                    row.append(states[to])
-                table.append(row)
-                self.hit.append(best(state, False))
-                self.stem_hit.append(best(state, True))
-            todo = grown
-        self.table = np.array(table, np.int32)
-        pack = lambda hits: np.array([-1 if h is None else h[0] * 4 + h[1] for h in hits], np.int32)
-        self.hit, self.stem_hit = pack(self.hit), pack(self.stem_hit)
-        self.dead = np.array([not s for s in states])
-        self.classes = np.zeros(0x110000, np.int32)
-        for c, i in self.code.items():
+                if c not in self.nodes[at]:
+                    self.nodes[at][c] = len(self.nodes)
+                    self.nodes.append({})
+                    self.allowed.append(0)
+                at = self.nodes[at][c]
+                self.allowed[at] = max(self.allowed[at], edits)
+            self.ends.setdefault(at, []).append((k, stem, edits))
+        self.classes = np.zeros(0x110000, np.int32)  # 0: any other letter
+        for i, c in enumerate(self.letters, 1):
             self.classes[ord(c)] = i
+        self.states: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.table = np.zeros((0, len(self.letters) + 1), np.int32)
+        self.hit, self.stem_hit, self.dead = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self._state(self._closed({(0, 0)}))
+
+    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+        """With the deletions: a letter of the term that the word lacks."""
+        todo, least = list(pairs), {}
+        while todo:
+            node, e = todo.pop()
+            if e > self.allowed[node] or least.get(node, 9) <= e:
+                continue
+            least[node] = e
+            todo += [(child, e + 1) for child in self.nodes[node].values()]
+        return frozenset(least.items())
+
+    def _step(self, state: frozenset, c: str | None) -> frozenset:
+        out = set()
+        for node, e in state:
+            if c in self.nodes[node]:
+                out.add((self.nodes[node][c], e))
+            out.add((node, e + 1))  # an extra letter
+            out.update((child, e + 1) for x, child in self.nodes[node].items() if x != c)  # another letter
+        return self._closed(out)
+
+    def _best(self, state: frozenset, stems: bool) -> int:
+        found = [(e, -len(self.terms[k][0]), k) for node, e in state for k, stem, most in self.ends.get(node, ()) if e <= most and (stem or not stems)]
+        return min(found)[2] * 4 + min(found)[0] if found else -1
+
+    def _state(self, state: frozenset) -> int:
+        """The number of a state, a new one if it wasn't met before."""
+        if state in self.states:
+            return self.states[state]
+        n = self.states[state] = len(self.states)
+        self.sets.append(state)
+        if n == len(self.table):  # room for twice as many
+            more = max(256, n)
+            self.table = np.concatenate([self.table, np.full((more, self.table.shape[1]), -1, np.int32)])
+            self.hit, self.stem_hit = (np.concatenate([x, np.full(more, -1, np.int32)]) for x in (self.hit, self.stem_hit))
+            self.dead = np.concatenate([self.dead, np.zeros(more, bool)])
+        self.hit[n], self.stem_hit[n], self.dead[n] = self._best(state, False), self._best(state, True), not state
+        return n
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        to = self.table[state, code]
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            for pair in np.unique(state[new].astype(np.int64) * (len(self.letters) + 1) + code[new]).tolist():
+                a, c = divmod(pair, len(self.letters) + 1)
+                self.table[a, c] = self._state(self._step(self.sets[a], self.letters[c - 1] if c else None))
+            to = self.table[state, code]
+        return to
 
     def read(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word term * 4 + edits, or -1. A stem found on the way counts unless a whole word has as few edits."""
@@ -127,7 +141,7 @@ class Automaton:
                 found[mine[better]] = whole[better]
             left = ~over & ~self.dead[state]
             going, state = going[left], state[left]
-            state = self.table[state, codes[starts[going] + j]]
+            state = self._next(state, codes[starts[going] + j])
             j += 1
         return found
 
@@ -205,15 +219,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50)
 class Model:
     def __init__(self, terms: list[tuple[str, bool, int]], weight: np.ndarray, beta: np.ndarray | None, share: float):
         self.terms, self.weight, self.beta, self.share = terms, weight, beta, share
-        self.made: Automaton | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"made": None}
 
     @property
     def automaton(self) -> Automaton:
-        self.made = self.made or Automaton(self.terms)
-        return self.made
+        return Automaton.of(self.terms)
 
     def score(self, part: list[str]) -> np.ndarray:
         if self.beta is None:
@@ -227,7 +236,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if len(w) <= 40}
+            words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
             for key in {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}:
                 seen.setdefault(key, [0, 0])[label] += 1
         if len(seen) > 300_000:
