@@ -2,10 +2,15 @@
 
 Centroids come from balanced splits of a bounded sample of vectors. Every vector goes to its nearest centroid's list, and
 near a boundary to others too: those not much farther, unless a list already chosen lies closer to them than the vector
-does. A query walks a graph of the centroids, kept in memory by each task, and reads the lists whose centroid is at most
-RATIO times as far as the best, and on until they hold ENOUGH vectors; where the walk ends before that ratio, all
-centroids are compared, so no number of lists is the limit. Lists are cut into blocks, so none is too long for a task. Equal vectors count as one while searching; of each, as many smallest ids are kept as
-a result can hold, which loses nothing.
+does. A query walks a graph of the centroids, made once and kept in memory by each task, and reads the lists whose centroid
+is at most RATIO times as far as the best, and on until they hold ENOUGH vectors; where the walk ends before that ratio,
+all centroids are compared, so no number of lists is the limit. Lists are cut into blocks, so none is too long for a task.
+Equal vectors count as one while searching; of each, as many smallest ids are kept as a result can hold, which loses
+nothing.
+
+The number of lists grows with the vectors, one for LIST_ROWS, as long as their centroids fit a task (MOST_LISTS, a few MB
+for each hundred dimensions). Beyond that, lists grow longer, in more blocks: every query still reads all that lies within
+the ratio. Centroids are fitted on SAMPLE_ROWS vectors, or on LIST_SAMPLE for each list if that is more.
 
 Scores are exact: cosines of the original vectors in double precision, equal vectors with equal scores; ties go to the
 smaller id. Only which lists are read is approximate; the tests measure recall against brute force.
@@ -29,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-SAMPLE_ROWS, LIST_ROWS, MOST_LISTS = 20_000, 128, 4096
+SAMPLE_ROWS, LIST_SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 8, 128, 32_768
 REPLICAS, BOUNDARY, RATIO, ENOUGH, BEAM, LINKS, BLOCK_ROWS = 6, 1.15, 1.22, 256, 96, 24, 8192
 
 
@@ -64,11 +69,13 @@ class Graph:
     """Centroids with links to their nearest others; search walks the links, best first."""
 
     def __init__(self, c: np.ndarray, links: int = LINKS):
-        self.c = c
-        near = c @ c.T
-        np.fill_diagonal(near, -2)
-        k = min(links, len(c) - 1)
-        self.links = np.argsort(-near, 1, kind="stable")[:, :k]
+        self.c, k = c, min(links, len(c) - 1)
+        self.links = np.zeros((len(c), k), np.int32)
+        for a in range(0, len(c) if k else 0, 1024):  # a bounded number of rows of all distances at a time
+            near = c[a : a + 1024] @ c.T
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = -2
+            some = np.argpartition(-near, k - 1, 1)[:, :k]
+            self.links[a : a + 1024] = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), 1, kind="stable"), 1)
         step = max(1, len(c) // 16)
         self.doors = np.arange(0, len(c), step)  # places to start, all over the graph
 
@@ -178,7 +185,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     same = staged(one.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "distinct-vectors")
     distinct = same.count()
     lists = int(min(MOST_LISTS, max(1, distinct // LIST_ROWS)))
-    sample = same.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).collect()
+    sample = same.select("v").orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE_ROWS, LIST_SAMPLE * lists)).collect()
     c = centroids(unit(matrix((r.v for r in sample), dim).astype(np.float64)), lists)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +201,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     own = np.array([sizes.get(i, (0, 0))[1] for i in range(len(c))])
     blocks = np.array([-(-sizes.get(i, (0, 0))[0] // BLOCK_ROWS) for i in range(len(c))])
 
+    graph = Graph(c)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(c)
         for batch in batches:
             to, block, raw = [], [], []
             for v in batch.column("v").to_pylist():
