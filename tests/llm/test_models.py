@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -145,6 +148,180 @@ def test_fingerprints(spark):
     assert len(twice) == 3
 
 
+def slot(word):
+    return xxhash.xxh64_intdigest(word.encode(), seed=42)
+
+
+def chained(words, last=()):
+    h = 42
+    for w in [*words, *last]:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return f"{h:016X}"[:8]
+
+
+def plain_imatch(texts):
+    """Fingerprints of texts and edited texts with the lexicon of the texts: one list a text."""
+    words_of = lambda t: sorted({w for w in re.split(r"[^\w]+|_", t.lower()) if w}, key=str.encode)
+    count = Counter(s for t in texts for s in {slot(w) % (1 << 20) for w in words_of(t)})
+    low, high = max(2, 0.0002 * len(texts)), max(0.05 * len(texts), 2)
+
+    def marks(text):
+        words = words_of(text)
+        terms = [w for w in words if low <= count[slot(w) % (1 << 20)] <= high]
+        bare = "-" if not text else "~" + chained(words, ["" if words else text])
+        out, at = [chained(terms) if terms else bare], 20
+        for bits in (3, 5, 7, 9):
+            for j in range(8):
+                part = [w for w in terms if (slot(w) >> at) & ((1 << bits) - 1) == j]
+                out.append(chained(part) if part else "-")
+            at += bits
+        return out
+
+    return marks
+
+
+def plain_likeness(a, b):
+    levels = [0.0]
+    for k in range(4):
+        pairs = [(x, y) for x, y in zip(a[1 + 8 * k : 9 + 8 * k], b[1 + 8 * k : 9 + 8 * k], strict=True) if (x, y) != ("-", "-")]
+        levels.append(sum(x == y for x, y in pairs) / max(len(pairs), 4))
+    return 1.0 if a == b else max(levels)
+
+
+def test_fingerprints_against_plain_imatch(spark):
+    """Ids that are null, repeated and clustered; texts without terms in the band or without words."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    ids = [None] * 90 + [7] * 60 + list(range(10**12, 10**12 + 100)) + [-5, 3]
+    rows = [(d, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 20, 150])))) for d in ids]
+    rows += [(20, "!!!"), (21, "???"), (22, ""), (23, None), (24, "zz"), (25, "yy"), (26, "zz"), (27, "word " * 40_000)]
+    rows[100] = rows[101]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, marks string, range int").repartition(5)
+    order = sorted([(d is not None, d or 0, (t or "")) for d, t in rows], key=lambda r: (r[0], r[1], r[2].encode()))
+    texts = [t for _, _, t in order]
+    marks, want = plain_imatch(texts), []
+    for i, (known, d, t) in enumerate(order):
+        after, k = texts[(i + 1) % len(texts)], len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        a, b = marks(t), marks(edited)
+        want.append((str(d if known else None), len(t), hashlib.sha256(edited.encode()).hexdigest(), ":".join(a), ":".join(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, marks(after)), 9)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.fingerprints(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_trees_and_statistics_against_plain_versions():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(np.float64)
+    model = quality.train(x, y, trees=12)
+    for row, got in zip(x[:200], model.score(x[:200]), strict=True):
+        total = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(1 / (1 + np.exp(-total)) - got) < 1e-12
+    # the first split of a tree is the best of all cuts at the quantiles
+    p, best = y.mean(), (-1.0, None)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    for f in range(5):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")):
+            low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) >= quality.LEAF_ROWS:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + quality.RIDGE)
+                best = max(best, (round(float(gain), 9), (f, float(cut))))
+    assert best[1] == (model.feature[0, 0], model.cut[0, 0])
+    texts = ["Some words, some more words! THE END.\n", "", "a a a a", "é|#1 2"]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for row, text in zip(got, texts, strict=True):
+        value, words = dict(zip(quality.NAMES, row.tolist(), strict=True)), text.split()
+        assert np.isclose(value["chars"], np.log1p(len(text))) and np.isclose(value["words"], np.log1p(len(words)))
+        count = Counter(w.lower() for w in words)
+        assert np.isclose(value["distinct"], len(count) / max(len(words), 1)) and np.isclose(value["top_word"], max(count.values(), default=0) / max(len(words), 1))
+        assert np.isclose(value["same_as_last"], sum(a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1))
+        assert np.isclose(value["upper_words"], sum("A" <= w[0] <= "Z" for w in words) / max(len(words), 1))
+
+
+def test_language_against_plain_rank_order():
+    texts = {"en": "the quick brown fox jumps over the lazy dog and the cat", "de": "der schnelle braune Fuchs springt über den faulen Hund und die Katze"}
+
+    def profile(text, size):
+        count = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"\1{w}\1"
+            for n in (1, 2, 3):
+                count.update(padded[i : i + n] for i in range(len(padded) - n + 1) if padded[i : i + n] != "\1")
+        for a in ("\1",):
+            count.pop(a, None)
+        number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return [number(g) for g in sorted(count, key=lambda g: (-count[g], number(g)))[:size]]
+
+    size = 60
+    ranks = {k: profile(t, size) for k, t in texts.items()}
+    assert {k: language.ranked(*language.grams(t), size).tolist() for k, t in texts.items()} == ranks
+    known = language.Profiles(ranks, size)
+    for text in ["the dog over the fox", "die Katze springt", "zzz 12 qq", "x", "!"]:
+        mine, far = profile(text, size), {}
+        for lang, ranked in ranks.items():
+            far[lang] = sum(abs(ranked.index(g) - i) if g in ranked else size for i, g in enumerate(mine)) / (size * max(len(mine), 1))
+        got = known.judge(text)
+        if not mine:
+            assert got == ("und", 0.0)
+            continue
+        best, other = sorted(far, key=lambda k: (far[k], k))
+        assert got[0] == best and np.isclose(got[1], (far[other] - far[best]) / far[other])
+
+
+def test_toxic_scores_against_plain_version():
+    terms = [("idiot", False, 1), ("scum", False, 0), ("moro", True, 0)]
+    weight = np.array([[3.0, 1.5, 0, 0], [2.0, 0, 0, 0], [1.0, 0, 0, 0]])
+    model = toxicity.Model(terms, weight, np.array([0.5, 0.4, 0.3, -0.2, -0.1, 0.2, 0.1, -0.3, -1.0]), 0.5)
+    texts = ["you idiot, you scum and moron", 'he is no "idiot" at all', "she said idot yesterday", "", "clean words only", "idiot " * 9, "“scum” and scum"]
+    got = model.score(texts)
+    for text, score in zip(texts, got, strict=True):
+        hits = []
+        for m in re.finditer(r"[^\W\d_]+", text):
+            word, best = m[0].lower(), None
+            for k, (term, stem, most) in enumerate(terms):
+                e = plain_match(word, [(term, stem, most)])
+                if e is not None and (best is None or e < best[1]):
+                    best = (k, e)
+            if best:
+                a, b = max(0, m.start() - toxicity.WINDOW), min(len(text), m.end() + toxicity.WINDOW)
+                marks = [i for i, c in enumerate(text) if c in "\"«»“”„‟‹›" and a <= i < b]
+                left, right = [i for i in marks if i < m.start()], [i for i in marks if i >= m.start()]
+                quoted = bool(right) and (len(left) % 2 == 1 or bool(left) and right[0] - left[-1] <= toxicity.WINDOW)
+                hits.append((best[0], weight[best], quoted, bool(toxicity.REPORTS.search(text[a : m.start()]))))
+        number = len(re.findall(r"[^\W\d_]+", text))
+        calm = [w for _, w, q, r in hits if not q and not r]
+        x = [max([w for _, w, _, _ in hits], default=0), max(calm, default=0), np.log1p(sum(calm)), np.log1p(sum(w for _, w, q, _ in hits if q)), np.log1p(sum(w for _, w, q, r in hits if r and not q)), np.log1p(sum(calm) / max(number, 1) * 100), np.log1p(sum(weight[k, 0] for k in {k for k, _, _, _ in hits})), np.log1p(number) / 10, 1]
+        assert np.isclose(score, 1 / (1 + np.exp(-np.dot(x, model.beta)))), text
+
+
+def test_the_graph_finds_the_lists_of_many_vectors():
+    """200,000 vectors in 1,562 lists, by the walk, the ratio and the replicas; recall against all cosines."""
+    x = np.random.default_rng(1).normal(size=(200_000, 64)).astype(np.float32)
+    u = neighbours.unit(x.astype(np.float64))
+    c = neighbours.centroids(u[:20_000], len(u) // neighbours.LIST_ROWS)
+    row, to = [], []
+    for i in range(0, len(u), 2048):
+        r, t, _ = neighbours.members(u[i : i + 2048], c)
+        row.append(r + i)
+        to.append(t)
+    row, to = np.concatenate(row), np.concatenate(to)
+    by = np.argsort(to, kind="stable")
+    row, cuts = row[by], np.searchsorted(to[by], np.arange(len(c) + 1))
+    graph, own, hits = neighbours.Graph(c), np.diff(cuts), 0
+    for q in range(0, 200_000, 8_000):
+        read = np.concatenate([row[cuts[j] : cuts[j + 1]] for j in neighbours.chosen(graph, u[q], own)])
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argpartition(-s, 5)[:5].tolist()) & set(read.tolist()))
+    assert hits >= 0.9 * 5 * 25
+
+
 def exact(rows, every, k):
     valid = {(i, tuple(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8}
     out = {}
