@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,11 +73,29 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _readings(table: tuple[tuple[int, int], ...], most: int) -> bytes:
+    """For each reading a byte: four times the data of its nearest entry plus the distance; 255 beyond `most` flips."""
+    codes = np.array([c for _, c in table])
+    all_ = np.arange(1 << int(codes.max()).bit_length())
+    best, out = np.full(len(all_), 99), np.full(len(all_), 255, np.uint8)
+    for d, c in table:
+        apart = np.bitwise_count(all_ ^ c)
+        near = apart < np.minimum(best, most + 1)
+        best[near], out[near] = apart[near], 4 * d + apart[near]
+    return out.tobytes()
+
+
 def nearest(bits: Column, table: list[tuple[int, int]], second: Column | None = None, most: int = 3) -> Column:
     """struct(data, distance) of the entry nearest to a reading, or to the better of two; NULL beyond `most` flips.
 
-    Ties go to the smaller sum of both distances, then to the first entry.
+    Ties go to the smaller sum of both distances, then to the first entry. One reading is looked up in a table of all
+    readings (up to 2^18 bytes in the plan); NULL if it has more bits than they.
     """
+    if second is None and most < 4 and max(d for d, _ in table) < 63 and max(c for _, c in table) < 1 << 18:
+        raw = _readings(tuple(table), most)
+        found = F.conv(F.hex(F.substring(F.lit(raw), bits.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = F.when((bits >= 0) & (bits < len(raw)), F.nullif(found, F.lit(255)))
+        return F.element_at(F.transform(F.array(found), lambda v: F.when(v.isNotNull(), F.struct(F.shiftright(v, 2).alias("data"), v.bitwiseAND(3).alias("distance")))), 1)
     second = bits if second is None else second
     rows = F.array(*[F.struct(F.least(hamming(bits, F.lit(c)), hamming(second, F.lit(c))).cast("int").alias("distance"), (hamming(bits, F.lit(c)) + hamming(second, F.lit(c))).cast("int").alias("both"), F.lit(i).alias("place"), F.lit(d).alias("data")) for i, (d, c) in enumerate(table)])
     best = F.array_min(rows)

@@ -22,7 +22,7 @@ def decode_matrix(matrix: pa.Array) -> pa.Array:
         try:
             n = 0 if raw is None else round(len(raw) ** 0.5)
             if raw is None or n * n != len(raw):
-                raise codec.DecodeError("version")
+                raise codec.DecodeError("invalid-dimension")
             got = codec.decode(np.frombuffer(raw, np.uint8).reshape(n, n) != 0)
             rows.append({k: got[k] for k in ("text", "bytes", "version", "ec_level", "mask")} | {"error_code": None})
         except codec.DecodeError as e:

@@ -25,8 +25,12 @@ BLOCKS = {
     "Q": [1, 1, 2, 2, 4, 4, 6, 6, 8, 8, 8, 10, 12, 16, 12, 17, 16, 18, 21, 20, 23, 23, 25, 27, 29, 34, 34, 35, 38, 40, 43, 45, 48, 51, 53, 56, 59, 62, 65, 68],
     "H": [1, 1, 2, 4, 4, 4, 5, 6, 8, 8, 11, 11, 16, 16, 18, 16, 19, 21, 25, 25, 25, 34, 30, 32, 35, 37, 40, 42, 45, 48, 51, 54, 57, 60, 63, 66, 70, 74, 77, 81],
 }
-#: Character sets by extended channel assignment, as Python codecs.
-CHARSETS = {0: "cp437", 1: "cp1252", 2: "cp437", 3: "cp1252", **{n: f"iso8859_{n - 2}" for n in (4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 16, 17, 18)}, 11: "cp1254", 13: "cp874", 20: "cp932", 21: "cp1250", 22: "cp1251", 23: "cp1252", 24: "cp1256", 25: "utf_16_be", 26: "utf_8", 27: "cp1252", 28: "big5", 29: "gb18030", 30: "cp949", 170: "ascii"}
+#: Character sets by extended channel assignment, as Python codecs. Assignments 4 to 18 are two above the
+#: parts of ISO 8859 but for 14; Latin-1, Latin-5, Thai and ASCII are read as the supersets that browsers read for them.
+#: Other assignments leave the choice to the bytes.
+CHARSETS = {1: "cp1252", 3: "cp1252", **{n: f"iso8859_{n - 2}" for n in (4, 5, 6, 7, 8, 9, 10, 12, 15, 16, 17, 18)}, 11: "cp1254", 13: "cp874", 20: "cp932", 21: "cp1250", 22: "cp1251", 23: "cp1252", 24: "cp1256", 25: "utf_16_be", 26: "utf_8", 27: "cp1252", 28: "big5hkscs", 29: "gb18030", 30: "cp949", 170: "cp1252"}
+#: Those of them whose characters may take several bytes.
+WIDE_CHARSETS = {"cp932", "big5hkscs", "gb18030", "cp949", "utf_16_be", "utf_8"}
 
 
 def size_of(version: int) -> int:

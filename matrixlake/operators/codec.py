@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.exprs import LOGS, POWERS
-from ..functions.tables import ALPHANUMERIC, CHARSETS, FORMATS, LEVEL_BITS, VERSIONS, alignment, blocks, size_of
+from ..functions.tables import ALPHANUMERIC, CHARSETS, FORMATS, LEVEL_BITS, VERSIONS, WIDE_CHARSETS, alignment, blocks, size_of
 
 EXP = np.array(POWERS * 2, np.int64)
 LOG = np.array([0, *(LOGS[i] for i in range(1, 256))], np.int64)
@@ -173,14 +173,14 @@ def correct(word: np.ndarray, checks: int) -> int:
         locator.pop()
     errors = len(locator) - 1
     if 2 * errors > checks or errors != length:
-        raise DecodeError("error-correction")
+        raise DecodeError("reed-solomon")
     value = np.zeros(n, np.int64)
     for i, c in enumerate(locator):  # the locator at the inverse of each place
         if c:
             value ^= EXP[(LOG[c] + i * (255 - powers)) % 255]
     places = np.flatnonzero(value == 0)
     if len(places) != errors:
-        raise DecodeError("error-correction")
+        raise DecodeError("reed-solomon")
     omega = [0] * checks
     for i, a in enumerate(locator):
         for j in range(checks - i):
@@ -194,7 +194,7 @@ def correct(word: np.ndarray, checks: int) -> int:
         for i in range(1, len(locator), 2):
             slope ^= gf(locator[i], int(EXP[inverse * (i - 1) % 255]))
         if not slope:
-            raise DecodeError("error-correction")
+            raise DecodeError("reed-solomon")
         word[p] ^= gf(gf(top, int(EXP[255 - LOG[slope]])), int(EXP[x % 255]))
     return errors
 
@@ -210,14 +210,25 @@ class Bits:
         return self.value >> self.left & ((1 << n) - 1)
 
 
+@cache
+def letters(codec: str) -> list[str]:
+    """The characters of a one-byte set. Bytes 0x80 to 0x9F that a Windows set leaves open are control characters."""
+    out = [bytes([b]).decode(codec, "replace") for b in range(256)]
+    return [chr(b) if c == "\ufffd" and codec.startswith("cp") and 0x80 <= b < 0xA0 else c for b, c in enumerate(out)]
+
+
 def byte_text(raw: bytes, assignment: int | None) -> str:
-    """By the named character set; else strict UTF-8; else Western European."""
-    if assignment is not None and (codec := CHARSETS.get(assignment)):
-        return raw.decode(codec, "replace").removeprefix("﻿" if codec == "utf_8" else "\0\0")
-    try:
-        return raw.decode("utf-8").removeprefix("﻿")
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
+    """By the named character set; else strict UTF-8; else Western European (windows-1252). A byte order mark goes."""
+    codec = CHARSETS.get(assignment)
+    if codec is None:
+        try:
+            return raw.decode("utf-8").removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            codec = "cp1252"
+    if codec in WIDE_CHARSETS:
+        text = raw.decode(codec, "replace")
+        return text.removeprefix("\ufeff") if codec.startswith("utf") else text
+    return "".join(map(letters(codec).__getitem__, raw))
 
 
 @dataclass
@@ -283,7 +294,7 @@ def read_segments(data: bytes, version: int) -> Stream:
             out.fnc1 = {"position": "second", "application_indicator": chr(value - 100) if 100 <= value <= 226 else f"{value:02d}"}
             continue
         else:
-            raise DecodeError("unsupported-mode", f"mode {mode}")
+            raise DecodeError("bitstream", f"there is no mode {mode}")
         raw = text.encode() if raw is None else raw
         out.text += text
         out.bytes += raw
@@ -295,7 +306,7 @@ def decode(m: np.ndarray) -> dict:
     """The payload of a square matrix of modules, [row, column], dark is true."""
     n = len(m)
     if m.shape != (n, n) or not 21 <= n <= 177 or n % 4 != 1:
-        raise DecodeError("version", "no symbol has this size")
+        raise DecodeError("invalid-dimension", "no symbol has this size")
     version = (n - 17) // 4
     level, mask = read_format(m)
     rows, cols = order(version)
@@ -319,7 +330,7 @@ def _schema(spark_schema: T.StructType) -> pa.Schema:
 def decode_matrices(df: DataFrame, matrix: str = "matrix", size: str = "size") -> DataFrame:
     """df with the payload of each matrix (bytes, row by row, nonzero is dark), or why it has none in error_code.
 
-    The decoded columns are NULL where error_code isn't; a NULL matrix is `version`.
+    The decoded columns are NULL where error_code isn't; a NULL matrix is `invalid-dimension`.
     """
     from pyspark.sql import functions as F
 
@@ -333,7 +344,7 @@ def decode_matrices(df: DataFrame, matrix: str = "matrix", size: str = "size") -
             for raw, n in zip(batch.column(matrix).to_pylist(), batch.column(size).to_pylist(), strict=True):
                 try:
                     if raw is None or n is None or len(raw) != n * n:
-                        raise DecodeError("version", "the matrix isn't square")
+                        raise DecodeError("invalid-dimension", "the matrix isn't square")
                     rows.append(decode(np.frombuffer(raw, np.uint8).reshape(n, n) != 0))
                 except DecodeError as e:
                     rows.append({"error_code": e.code})

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .vision import COSINE, IMBALANCE, SPACING, SPREAD
+
 
 def histogram(pixels: DataFrame, keys: list[str], luma: str = "luma") -> DataFrame:
     return pixels.groupBy(*keys, luma).agg(F.count("*").alias("n"))
 
 
 def otsu(bins: DataFrame, keys: list[str], luma: str = "luma") -> DataFrame:
-    """keys and threshold: one above the middle of the levels that part each histogram(keys, luma, n) best; 127 if none does."""
+    """keys and threshold: one above the middle of the levels that part each histogram(keys, luma, n) best; 128 if none does."""
     levels = bins.select(*keys).distinct().withColumn(luma, F.explode(F.sequence(F.lit(0), F.lit(255))))
     full = levels.join(bins, [*keys, luma], "left").select(*keys, luma, F.coalesce("n", F.lit(0)).cast("double").alias("n"))
     upto = Window.partitionBy(*keys).orderBy(luma).rowsBetween(Window.unboundedPreceding, 0)
@@ -21,7 +25,7 @@ def otsu(bins: DataFrame, keys: list[str], luma: str = "luma") -> DataFrame:
     above = F.col("t") - F.col("b")
     part = F.when((F.col("b") > 0) & (above > 0), F.col("b") * above * F.pow(F.col("m") / F.col("b") - (F.col("s") - F.col("m")) / above, 2)).otherwise(F.lit(0.0))
     best = sums.withColumn("part", part).withColumn("best", F.max("part").over(all_)).filter("part = best")
-    return best.groupBy(*keys).agg(F.when(F.max("best") > 0, F.shiftright((F.min(luma) + F.max(luma)).cast("int"), 1) + 1).otherwise(127).cast("int").alias("threshold"))
+    return best.groupBy(*keys).agg(F.when(F.max("best") > 0, F.shiftright((F.min(luma) + F.max(luma)).cast("int"), 1) + 1).otherwise(128).cast("int").alias("threshold"))
 
 
 def runs(bits: DataFrame, keys: list[str], order: list[str], bit: str = "bit") -> DataFrame:
@@ -72,24 +76,47 @@ def corner_triples(patterns: DataFrame, keys: list[str], pool: int = 12) -> Data
         pools = pools.withColumn(f"_{name}", F.explode("_pool")).filter(after)
     p = {n: F.col(f"_{n}") for n in "abc"}
     apart = lambda m, n: F.sqrt((p[m]["x"] - p[n]["x"]) * (p[m]["x"] - p[n]["x"]) + (p[m]["y"] - p[n]["y"]) * (p[m]["y"] - p[n]["y"]))
-    sides = F.array_sort(F.array(*[F.struct(apart(m, n).alias("length"), F.lit(i).alias("order"), p[o].alias("corner"), p[m].alias("m"), p[n].alias("n")) for i, (m, n, o) in enumerate(("bca", "acb", "abc"))]))
+    sides = F.array_sort(F.array(*[F.struct(apart(m, n).alias("length"), F.lit(-i).alias("order"), p[o].alias("corner"), p[m].alias("m"), p[n].alias("n")) for i, (m, n, o) in enumerate(("bca", "acb", "abc"))]))
     s = pools.select(*keys, *[p[n].alias(f"_{n}") for n in "abc"], sides.alias("_s"))
     s = s.select("*", F.col("_s")[2]["corner"].alias("_o"), F.col("_s")[2]["m"].alias("_m"), F.col("_s")[2]["n"].alias("_n"), *[F.col("_s")[i]["length"].alias(f"_{k}") for i, k in enumerate(("short", "middle", "long"))])
     modules = [F.col(f"_{n}.module") for n in "abc"]
     s = s.withColumn("_mean", (modules[0] + modules[1] + modules[2]) / 3).withColumn("_spread", (F.greatest(*modules) - F.least(*modules)) / F.col("_mean"))
     side = lambda end: (F.col(f"_{end}.x") - F.col("_o.x"), F.col(f"_{end}.y") - F.col("_o.y"))
     (ux, uy), (vx, vy) = side("m"), side("n")
-    s = s.filter((F.col("_short") > 0) & (F.col("_spread") <= 0.5) & (F.col("_short") / F.col("_mean")).between(9, 185))
-    s = s.withColumn("_legs", (F.col("_middle") - F.col("_short")) / F.col("_middle")).withColumn("_cos", F.abs(ux * vx + uy * vy) / (F.col("_short") * F.col("_middle")))
-    s = s.filter((F.col("_legs") <= 0.6) & (F.col("_cos") <= 0.5))
-    diagonal = F.abs(F.col("_long") - F.sqrt(F.col("_short") * F.col("_short") + F.col("_middle") * F.col("_middle"))) / F.col("_long")
-    turn = ux * vy - uy * vx >= 0
+    s = s.withColumn("_leg", (F.col("_short") + F.col("_middle")) / 2)
+    s = s.filter((F.col("_spread") <= SPREAD) & (F.col("_leg") / F.col("_mean")).between(*SPACING))
+    s = s.withColumn("_legs", (F.col("_middle") - F.col("_short")) / F.col("_leg")).filter(F.col("_legs") <= IMBALANCE)
+    s = s.withColumn("_cos", F.abs(ux * vx + uy * vy) / (F.col("_short") * F.col("_middle"))).filter(F.col("_cos") <= COSINE)
+    diagonal = F.abs(F.col("_long") - math.sqrt(2) * F.col("_leg")) / F.col("_long")
+    turn = ux * vy - uy * vx > 0
     end = lambda yes, no: F.when(turn, F.col(f"_{yes}.id")).otherwise(F.col(f"_{no}.id"))
     s = s.withColumn("score", F.col("_spread") + F.col("_legs") + 2 * diagonal + F.col("_cos"))
     best = Window.partitionBy(*keys).orderBy("score", "_a.rank", "_b.rank", "_c.rank")
     return s.select(*keys, F.col("_o.id").alias("top_left"), end("m", "n").alias("top_right"), end("n", "m").alias("bottom_left"), "score", F.row_number().over(best).alias("place"))
 
 
+def best_triples(patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """The most plausible symbol of each frame; frames without one have no row."""
+    return corner_triples(patterns, keys).filter("place = 1").drop("place")
+
+
+def window_means(pixels: DataFrame, keys: list[str], width: int, height: int, tile: int, half: int) -> DataFrame:
+    """keys, tx, ty and mean: of each tile of a frame the mean of the pixels at most `half` from its middle, each way.
+
+    pixels: keys, x, y, luma. Four places of the integral image give a window's sum.
+    """
+    total = integral(pixels, keys).select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), "total")
+    span = lambda n: F.sequence(F.lit(0), F.lit((n - 1) // tile))
+    tiles = pixels.select(*keys).distinct().withColumn("tx", F.explode(span(width))).withColumn("ty", F.explode(span(height)))
+    low, high = ((lambda c, n, way=way: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c) * tile + tile // 2 + way * half))) for way in (-1, 1))
+    tiles = tiles.withColumns({"x0": low("tx", width), "x1": high("tx", width), "y0": low("ty", height), "y1": high("ty", height)})
+    corner = lambda x, y, sign: F.struct(x.alias("x"), y.alias("y"), F.lit(sign).alias("sign"))
+    x0, x1, y0, y1 = F.col("x0") - 1, F.col("x1"), F.col("y0") - 1, F.col("y1")
+    at = tiles.withColumn("c", F.explode(F.array(corner(x1, y1, 1), corner(x0, y1, -1), corner(x1, y0, -1), corner(x0, y0, 1))))
+    at = at.select(*keys, "tx", "ty", ((x1 - x0) * (y1 - y0)).alias("pixels"), F.col("c.x").alias("_x"), F.col("c.y").alias("_y"), "c.sign").filter("_x >= 0 and _y >= 0")
+    return at.join(total, [*keys, "_x", "_y"]).groupBy(*keys, "tx", "ty").agg((F.sum(F.col("sign") * F.col("total")) / F.first("pixels")).alias("mean"))
+
+
 def distinct_places(found: DataFrame, keys: list[str], order: str, diagonal: str = "diagonal", x: str = "x", y: str = "y") -> DataFrame:
     """The rows that are no repeat of a row kept before: of the same keys, nearer than half the larger diagonal.
 

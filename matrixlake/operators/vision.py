@@ -11,8 +11,13 @@ import numpy as np
 from ..functions.tables import size_of
 from .codec import DecodeError, decode, read_version
 
-#: Limits of the detector.
-FLAT, TINY, PROFILE, MOST_PATTERNS, TIMING = 16, 48, 0.25, 12, 0.7
+#: Limits of the detector. Of frames, of finder profiles and of their two directions.
+FLAT, TINY, PROFILE, AXES = 16, 48, 0.25, 1.6
+#: Of triples, that is patterns looked at, spread of their modules, modules between centres, difference of
+#: the legs and cosine of the corner.
+MOST_PATTERNS, SPREAD, SPACING, IMBALANCE, COSINE = 12, 0.5, (9, 185), 0.6, 0.5
+#: Of symbols, that is agreement of the timing patterns, modules that an estimate may be off, least pivot.
+TIMING, SLACK, PIVOT = 0.7, 2.5, 1e-12
 #: Pixels that are turned gray at once.
 STRIP = 1 << 14
 
@@ -44,7 +49,7 @@ def otsu(histogram: np.ndarray) -> int:
     with np.errstate(divide="ignore", invalid="ignore"):
         between = np.where((below > 0) & (above > 0), below * above * (mass / below - (mass[-1] - mass) / above) ** 2, 0)
     best = np.flatnonzero(between == between.max())
-    return int((best[0] + best[-1]) >> 1) + 1 if between.max() > 0 else 127
+    return int((best[0] + best[-1]) >> 1) + 1 if between.max() > 0 else 128
 
 
 def window(n: int, boxes: int, tile: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +121,7 @@ def finder_patterns(bits: np.ndarray) -> list[Pattern]:
         c = np.clip(x.astype(int) + jitter, 0, bits.shape[1] - 1)
         hit = np.where(hit < 0, cover[row, c], hit)
     ok = hit >= 0
-    ok[ok] = np.maximum(hspan[ok], vspan[hit[ok]]) <= 1.6 * np.minimum(hspan[ok], vspan[hit[ok]])
+    ok[ok] = np.maximum(hspan[ok], vspan[hit[ok]]) <= AXES * np.minimum(hspan[ok], vspan[hit[ok]])
     sums: list[list[float]] = []
     for px, py, pm in zip(x[ok].tolist(), (top + tall / 2)[hit[ok]].tolist(), ((hspan[ok] + vspan[hit[ok]]) / 14).tolist(), strict=True):
         for s in sums:
@@ -131,41 +136,57 @@ def finder_patterns(bits: np.ndarray) -> list[Pattern]:
 
 
 def ranked_triples(patterns: list[Pattern]) -> list[tuple[Pattern, Pattern, Pattern]]:
-    """(top left, top right, bottom left) of plausible symbols, best first."""
+    """(top left, top right, bottom left) of plausible symbols, best first: like modules, equal legs at a right angle."""
     pool = sorted(patterns, key=lambda p: -p.count * p.module)[:MOST_PATTERNS]
     found = []
     for n, three in enumerate(combinations(pool, 3)):
         modules = [p.module for p in three]
-        spread = (max(modules) - min(modules)) / (sum(modules) / 3)
-        sides = sorted(((a.x - b.x) ** 2 + (a.y - b.y) ** 2, i) for i, (a, b) in enumerate([(three[1], three[2]), (three[0], three[2]), (three[0], three[1])]))
-        short, middle, long_ = (s**0.5 for s, _ in sides)
-        spacing = short / (sum(modules) / 3)
-        if spread > 0.5 or not 9 <= spacing <= 185 or short == 0:
+        size = sum(modules) / 3
+        spread = (max(modules) - min(modules)) / size
+        if spread > SPREAD:
             continue
-        corner = three[sides[2][1]]
-        a, b = [p for p in three if p is not corner]
-        u, v = (a.x - corner.x, a.y - corner.y), (b.x - corner.x, b.y - corner.y)
-        cosine = abs(u[0] * v[0] + u[1] * v[1]) / (short * middle)
-        imbalance = (middle - short) / middle
-        if imbalance > 0.6 or cosine > 0.5:
+        across = [(b.x - a.x) ** 2 + (b.y - a.y) ** 2 for a, b in ((three[1], three[2]), (three[0], three[2]), (three[0], three[1]))]
+        o = across.index(max(across))  # the corner lies opposite the longest side
+        a, b = (p for k, p in enumerate(three) if k != o)
+        u, v = (a.x - three[o].x, a.y - three[o].y), (b.x - three[o].x, b.y - three[o].y)
+        legs, diagonal = (np.hypot(*u), np.hypot(*v)), across[o] ** 0.5
+        leg = (legs[0] + legs[1]) / 2
+        if not SPACING[0] <= leg / size <= SPACING[1] or abs(legs[0] - legs[1]) / leg > IMBALANCE:
             continue
-        if u[0] * v[1] - u[1] * v[0] < 0:
+        cosine = abs(u[0] * v[0] + u[1] * v[1]) / (legs[0] * legs[1])
+        if cosine > COSINE:
+            continue
+        if u[0] * v[1] - u[1] * v[0] <= 0:
             a, b = b, a
-        diagonal = abs(long_ - np.hypot(short, middle)) / long_
-        found.append((spread + imbalance + 2 * diagonal + cosine, n, (corner, a, b)))
+        found.append((spread + abs(legs[0] - legs[1]) / leg + 2 * abs(diagonal - 2**0.5 * leg) / diagonal + cosine, n, (three[o], a, b)))
     return [t for _, _, t in sorted(found, key=lambda f: f[:2])]
 
 
+def solved(rows: list[list[float]]) -> list[float] | None:
+    """The solution of linear equations (coefficients, then the right side) by elimination with row exchange; None where a pivot vanishes."""
+    m = np.array(rows, float)
+    n = len(m)
+    for k in range(n):
+        best = k + int(np.abs(m[k:, k]).argmax())
+        if abs(m[best, k]) < PIVOT:
+            return None
+        if best != k:
+            m[[k, best]] = m[[best, k]]
+        m[k, k:] /= m[k, k]
+        m[k + 1 :, k:] -= m[k + 1 :, k : k + 1] * m[k, k:]
+    x = m[:, n]
+    for k in range(n - 1, 0, -1):
+        x[:k] -= m[:k, k] * x[k]
+    return x.tolist()
+
+
 def homography(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> np.ndarray | None:
     """The 3x3 map that takes four points to four others; None if there is no single one."""
-    rows, right = [], []
+    rows = []
     for (x, y), (u, v) in zip(src, dst, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    a = np.array(rows, float)
-    if abs(np.linalg.det(a)) < 1e-9:
-        return None
-    return np.append(np.linalg.solve(a, right), 1).reshape(3, 3)
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, u], [0, 0, 0, x, y, 1, -v * x, -v * y, v]]
+    found = solved(rows)
+    return None if found is None else np.array([*found, 1]).reshape(3, 3)
 
 
 def apply(h: np.ndarray, x, y) -> tuple[np.ndarray, np.ndarray]:
@@ -173,24 +194,28 @@ def apply(h: np.ndarray, x, y) -> tuple[np.ndarray, np.ndarray]:
     return (h[0, 0] * x + h[0, 1] * y + h[0, 2]) / w, (h[1, 0] * x + h[1, 1] * y + h[1, 2]) / w
 
 
-def sample(bits: np.ndarray, x, y) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest pixels, light outside; and which lie inside."""
+def sample(bits: np.ndarray, x, y, outside: bool | None = False) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pixels, and which points lie inside; beyond the frame `outside`, or the pixel at the edge for None."""
     i, j = np.floor(y).astype(int), np.floor(x).astype(int)
     h, w = bits.shape
     if i.size and i.min() >= 0 and j.min() >= 0 and i.max() < h and j.max() < w:
         return bits[i, j], np.ones(i.shape, bool)
     inside = (i >= 0) & (j >= 0) & (i < h) & (j < w)
-    return np.where(inside, bits[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)], False), inside
+    edge = bits[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)]
+    return edge if outside is None else np.where(inside, edge, outside), inside
 
 
 def reach(bits: np.ndarray, a: Pattern, b: Pattern) -> float | None:
-    """Module size along the ray from one finder's centre to another's: three changes make 3.5 modules."""
+    """Module size from one finder's centre towards another's, half way at most: its changes come after 1.5, 2.5 and 3.5 modules."""
     dx, dy = b.x - a.x, b.y - a.y
     size = np.hypot(dx, dy)
-    t = np.arange(0, min(size, 8 * max(a.module, 1)), 0.5)
-    seen, _ = sample(bits, a.x + dx / size * t, a.y + dy / size * t)
-    flips = np.flatnonzero(seen[1:] != seen[:-1])
-    return float(t[flips[2]] + 0.25) / 3.5 if len(flips) >= 3 and seen[0] else None
+    if size == 0:
+        return None
+    t = np.arange(0.5, min(size / 2, sum(bits.shape)), 0.5)
+    seen, inside = sample(bits, a.x + dx / size * t, a.y + dy / size * t)
+    out = int(inside.argmin()) if not inside.all() else len(t)
+    flips = t[:out][seen[:out] != np.concatenate([[True], seen[: out - 1]])[:out]][:3] - 0.25
+    return float(flips[0] / 1.5 + flips[2] - flips[0]) / 3 if len(flips) == 3 else None
 
 
 def module_between(bits: np.ndarray, a: Pattern, b: Pattern) -> float:
@@ -246,7 +271,7 @@ def assemble(bits: np.ndarray, three: tuple[Pattern, Pattern, Pattern]) -> Itera
     guess = (np.hypot(tr.x - tl.x, tr.y - tl.y) / across + np.hypot(bl.x - tl.x, bl.y - tl.y) / down) / 2 + 7
     middle = int(np.floor((guess - 17) / 4 + 0.5))
     for version in (middle, middle - 1, middle + 1):
-        if not 1 <= version <= 40 or abs(size_of(version) - guess) > 4.5:
+        if not 1 <= version <= 40 or abs(size_of(version) - guess) > SLACK:
             continue
         n = size_of(version)
         u = np.array([tr.x - tl.x, tr.y - tl.y]) / (n - 7)
@@ -266,7 +291,7 @@ def assemble(bits: np.ndarray, three: tuple[Pattern, Pattern, Pattern]) -> Itera
             if (timing == np.tile(i % 2 == 0, 2)).mean() < TIMING:
                 continue
             gy, gx = np.mgrid[:n, :n] + 0.5
-            matrix, inside = sample(bits, *apply(h, gx, gy))
+            matrix, inside = sample(bits, *apply(h, gx, gy), outside=None)
             if (~inside).sum() > -(-n * n // 8) or version > 6 and read_version(matrix) not in (None, version):
                 continue
             corners = [tuple(float(c) for c in apply(h, a, b)) for a, b in ((0, 0), (n, 0), (n, n), (0, n))]

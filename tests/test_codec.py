@@ -78,7 +78,7 @@ def test_decode_matrices_reports_failures(spark):
     rows = [(1, bytearray(good), 21), (2, bytearray(good), 25), (3, None, 21), (4, bytearray(b"\1" * 441), 21)]
     got = {r.id: r for r in codec.decode_matrices(spark.createDataFrame(rows, "id int, matrix binary, size int")).collect()}
     assert (got[1].text, got[1].error_code) == ("HELLO", None)
-    assert got[2].error_code == got[3].error_code == "version"
+    assert got[2].error_code == got[3].error_code == "invalid-dimension"
     assert got[4].error_code
 
 

@@ -12,7 +12,7 @@ def test_sql_names(spark):
     rows = [(1, bytearray(m.astype(np.uint8).tobytes()), bytearray(encode.rgba(g)), g.shape[1], g.shape[0]), (2, None, None, 1, 1)]
     spark.createDataFrame(rows, "id int, matrix binary, data binary, width int, height int").createOrReplaceTempView("frames")
     got = spark.sql("SELECT id, d.text, d.error_code FROM (SELECT id, qr_decode_matrix(matrix) AS d FROM frames) ORDER BY id").collect()
-    assert [tuple(r) for r in got] == [(1, "HELLO", None), (2, None, "version")]
+    assert [tuple(r) for r in got] == [(1, "HELLO", None), (2, None, "invalid-dimension")]
     got = spark.sql("SELECT id, t.text, t.version FROM frames, LATERAL qr_scan(data, width, height) t").collect()
     assert [tuple(r) for r in got] == [(1, "HELLO", 1)]
     assert spark.table("qr_version").count() == 40
