@@ -3,6 +3,10 @@
 frames: the key columns (what tells scanners apart), ts, data, width, height; order breaks ties of time. Frames that are
 NULL, as a source gives when it isn't ready, use up nothing of the scan budget. The same calls take a table, with the
 batch forms of each step. A stream writes its scanned frames once (writer), and detections, errors and sightings read them.
+
+Options are those of the calls. To change them, stop the query and start it again with the new call and the same folder:
+windows, rates and scan options aren't part of the state, so what was sighted stays known; only other keys or columns need
+a fresh folder. To stop after the first decode, decodes(stop_on_decode=True) gives one row a scanner; its query may end then.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions import content
 from ..functions.exprs import shifted
 from ..operators import scan
-from ..operators.codec import DECODED, POINT
+from ..operators.codec import DECODED, POINT, SEGMENTS
 from . import scanner
 
 #: Parts of a result that travel as JSON through the state steps, which take flat columns.
-_NESTED = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in DECODED.split(", ") if f.split(" ", 1)[0] in ("segments", "ecc", "structured_append", "fnc1")}
+_NESTED = {f.split(" ", 1)[0]: f.split(" ", 1)[1] for f in DECODED.split(", ") if f.split(" ", 1)[0] in ("structured_append", "fnc1")}
 _NESTED |= {"corner_points": f"array<{POINT}>"}
 _FLAT = ["text", "bytes", "version", "ec_level", "mask", "module_size"]
+#: What a joined payload has of all of its parts: numbers that add up, and JSON lists.
+_SUMS, _LISTS = ["ecc_blocks", "ecc_corrected"], ["_segments"]
 
 
 def scan_live(frames: DataFrame, keys: list[str], per_second: float = 15, ts: str = "ts", order: list[str] = (), **options) -> DataFrame:
@@ -39,24 +45,30 @@ def sightings(scanned: DataFrame, keys: list[str], reassemble: bool = False, ttl
     """A row for each result in order (symbol_seq), payloads split over symbols joined if asked for."""
     order = [*order, "symbol_seq"]
     rows, header = scan.results_of(scanned, parse_content=False), F.col("structured_append")
-    rows = rows.select(*dict.fromkeys([*keys, ts, *order]), *_FLAT, F.to_json(F.struct(*_NESTED)).alias("_nested"), *[header[c].alias(c) for c in ("index", "total", "parity")])
+    rows = rows.select(*dict.fromkeys([*keys, ts, *order]), *_FLAT, F.to_json(F.struct(*_NESTED)).alias("_nested"), F.col("ecc.blocks").alias("ecc_blocks"), F.col("ecc.codewords_corrected").alias("ecc_corrected"), F.coalesce(F.to_json("segments"), F.lit("[]")).alias("_segments"), *[header[c].alias(c) for c in ("index", "total", "parity")])
     if reassemble:
         join = scanner.reassemble_stream if rows.isStreaming else scanner.reassemble
-        rows = join(rows, keys, ts, ttl_ms, order, last=["version", "ec_level", "mask", "module_size", "_nested"])
+        rows = join(rows, keys, ts, ttl_ms, order, last=["version", "ec_level", "mask", "module_size", "_nested"], sums=_SUMS, lists=_LISTS)
     return rows.drop("index", "total", "parity")
 
 
-def decodes(seen: DataFrame, keys: list[str], window_ms: int = scanner.WINDOW_MS, parse_content: bool = True, ts: str = "ts", order: list[str] = ()) -> DataFrame:
+def decodes(seen: DataFrame, keys: list[str], window_ms: int = scanner.WINDOW_MS, parse_content: bool = True, ts: str = "ts", order: list[str] = (), stop_on_decode: bool = False) -> DataFrame:
     """What a scanner emits of its sightings: each text once until its window has passed without a sighting.
 
+    With stop_on_decode only the first: a scanner stops with it.
+
     A streaming query holds one state step of this kind: with reassemble, sightings of a stream are written and read first.
     """
     order = [*order, "symbol_seq"]
-    once = scanner.deduplicate_stream if seen.isStreaming else scanner.deduplicate
-    rows = once(seen, [*keys, "text"], ts, window_ms, order)
-    rows = rows if seen.isStreaming else rows.filter("emit").drop("emit")
+    if stop_on_decode:
+        rows = (scanner.first_stream if seen.isStreaming else scanner.first)(seen, keys, ts, order)
+    elif seen.isStreaming:
+        rows = scanner.deduplicate_stream(seen, [*keys, "text"], ts, window_ms, order)
+    else:
+        rows = scanner.deduplicate(seen, [*keys, "text"], ts, window_ms, order).filter("emit").drop("emit")
     back = F.from_json("_nested", "struct<" + ",".join(f"{k}:{t}" for k, t in _NESTED.items()) + ">")
-    out = rows.withColumn("_n", back).select(*dict.fromkeys([*keys, ts, *order]), *_FLAT, "_n.*")
+    ecc = F.struct(F.col("ecc_blocks").alias("blocks"), F.col("ecc_corrected").alias("codewords_corrected"))
+    out = rows.withColumn("_n", back).select(*dict.fromkeys([*keys, ts, *order]), *_FLAT, F.from_json("_segments", SEGMENTS).alias("segments"), ecc.alias("ecc"), "_n.*")
     return out.withColumn("content", content.parse_content(F.col("text"), F.coalesce(F.col("fnc1.position") == "first", F.lit(False)))) if parse_content else out
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,12 +77,13 @@ def _bytes_of(v: Column) -> Column:
     return out.bitwiseAND(255).cast("int")
 
 
-def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = ()) -> DataFrame:
+def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = (), sums: list[str] = (), lists: list[str] = ()) -> DataFrame:
     """Joined payloads of symbols with a header (index, total, parity), text and bytes; one row for each sighting that completes.
 
     Parts meet by keys, total and parity; the latest of an index counts; a pause of more than ttl_ms drops them.
     Headers with total < 2 or index >= total give nothing, and wrong parity withholds. Rows without header pass.
-    The columns named in `last` come from the part with the last index, all others from the sighting.
+    Columns named in `last` come from the part with the last index; those in `sums` are added up, and those in `lists`
+    (JSON arrays) joined in order, over all parts; all others are the sighting's.
     """
     bucket = [*keys, "total", "parity"]
     whole = df.filter(F.col("total").isNull())
@@ -89,79 +91,150 @@ def reassemble(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
     line = Window.partitionBy(*bucket).orderBy(*_order(ts, list(order)))
     parts = parts.withColumn("_gap", F.coalesce((ms - F.lag(ms).over(line) > ttl_ms).cast("int"), F.lit(0)))
-    parts = parts.withColumn("_session", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.withColumn("_part", F.struct("text", "bytes", xor_bytes(F.col("bytes")).alias("x"), *[F.col(c).alias(f"last_{c}") for c in last]))
+    parts = parts.withColumns({"_n": F.row_number().over(line), "_session": F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0)), "_x": xor_bytes(F.col("bytes"))})
+    # the windows hold numbers only: which row was the latest of each index; the payloads are joined for what completes
     upto = Window.partitionBy(*bucket, "_session").orderBy(*_order(ts, list(order))).rowsBetween(Window.unboundedPreceding, 0)
-    slots = [F.last(F.when(F.col("index") == i, F.col("_part")), ignorenulls=True).over(upto) for i in range(PARTS)]
-    parts = parts.withColumn("_slots", F.slice(F.array(*slots), F.lit(1), F.col("total")))
-    good = F.forall("_slots", lambda p: p.isNotNull()) & (F.aggregate("_slots", F.lit(0), lambda a, p: a.bitwiseXOR(p["x"])) == F.col("parity"))
-    own = [c for c in df.columns if c not in ("text", "bytes")]
-    own = [F.element_at("_slots", -1)[f"last_{c}"].alias(c) if c in last else F.col(c) for c in own]
-    joined = parts.filter(good).select(*own, F.array_join(F.transform("_slots", lambda p: p["text"]), "").alias("text"), F.unhex(F.array_join(F.transform("_slots", lambda p: F.hex(p["bytes"])), "")).alias("bytes"))
-    return joined.unionByName(whole.select(joined.columns))
+    slots = [F.last(F.when(F.col("index") == i, F.struct("_n", "_x")), ignorenulls=True).over(upto) for i in range(PARTS)]
+    seen = parts.withColumn("_slots", F.slice(F.array(*slots), F.lit(1), F.col("total")))
+    good = F.forall("_slots", lambda p: p.isNotNull()) & (F.aggregate("_slots", F.lit(0), lambda a, p: a.bitwiseXOR(p["_x"])) == F.col("parity"))
+    own = [c for c in df.columns if c not in ("text", "bytes", *last, *sums, *lists)]
+    taken = ["text", "bytes", *last, *sums, *lists]
+    done = seen.filter(good).select(*[F.col(c).alias(f"_{c}") for c in bucket], F.col("_n").alias("_at"), F.struct(*own).alias("_own"), F.posexplode("_slots").alias("_place", "_slot"))
+    done = done.withColumn("_own", F.when(F.col("_place") == 0, F.col("_own"))).withColumn("_row", F.col("_slot._n"))
+    same = F.col("_row") == F.col("_n")
+    for c in bucket:
+        same &= F.col(f"_{c}").eqNullSafe(F.col(c))
+    met = done.join(parts.select(*bucket, "_n", F.struct(*taken).alias("_part")), same)
+    rows = met.groupBy(*[f"_{c}" for c in bucket], "_at").agg(F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.struct("_place", "_part"))).alias("_parts"))
+    rows = rows.withColumn("_parts", F.transform("_parts", lambda p: p["_part"]))
+    each = lambda c: F.transform("_parts", lambda p: p[c])
+    joined = {"text": F.array_join(each("text"), ""), "bytes": F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["bytes"])), ""))}
+    joined |= {c: F.element_at("_parts", -1)[c] for c in last}
+    joined |= {c: F.aggregate(each(c), F.lit(0).cast(df.schema[c].dataType), lambda a, v: a + F.coalesce(v, F.lit(0)).cast(df.schema[c].dataType)) for c in sums}
+    inner = lambda c: F.filter(F.transform("_parts", lambda p: F.substring(p[c], F.lit(2), F.length(p[c]) - 2)), lambda t: t != "")
+    joined |= {c: F.concat(F.lit("["), F.array_join(inner(c), ","), F.lit("]")) for c in lists}
+    out = rows.select(*[joined[c].alias(c) if c in joined else F.col(f"_own.`{c}`").alias(c) for c in df.columns])
+    return out.unionByName(whole.select(out.columns))
+
+
+#: How late rows of a stream may come before their key's state may be gone.
+LATE = "1 minute"
+
+
+def _stateful(df: DataFrame, keys: list[str], ts: str, late: str | None, state: str, step) -> DataFrame:
+    """step(key, rows in order, state, until) for the groups of a stream; until(ms) keeps the state to that time of the watermark.
+
+    The times are those of the rows, so a key that comes no more is forgotten once its state can't matter for any row
+    that is in time. late=None takes the stream's own watermark.
+    """
+    rows = df.withWatermark(ts, late) if late else df
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+
+        def until(ms: int, value: tuple) -> None:
+            if ms > held.getCurrentWatermarkMs():
+                held.update(value)
+                held.setTimeoutTimestamp(int(ms))
+            elif held.exists:
+                held.remove()
+
+        yield step(key, pd.concat(list(frames)), held.get if held.exists else None, until)
+
+    return rows.groupBy(*keys).applyInPandasWithState(work, df.schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def deduplicate_stream(df: DataFrame, keys: list[str], ts: str = "ts", window_ms: int = WINDOW_MS, order: list[str] = ()) -> DataFrame:
-    """The sightings of a stream that deduplicate() would emit; state is the last sighting of each key."""
+def _in_order(part: pd.DataFrame, ts: str, order: list[str]) -> tuple[pd.DataFrame, pd.Series]:
+    part = part.sort_values([ts, *order], kind="stable")
+    return part, part[ts].astype("datetime64[ms]").astype("int64")
+
+
+def deduplicate_stream(df: DataFrame, keys: list[str], ts: str = "ts", window_ms: int = WINDOW_MS, order: list[str] = (), late: str | None = LATE) -> DataFrame:
+    """The sightings of a stream that deduplicate() would emit; state is the last sighting of each key, for its window.
+
+    Rows that come after later ones of their key, but in time, count as sightings and don't turn the key's clock back.
+    """
     columns = df.columns
+    if window_ms <= 0:
+        return df
 
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
-        keep = []
-        for t in part[ts].astype("datetime64[ms]").astype("int64"):
-            keep.append(window_ms <= 0 or last is None or t - last >= window_ms)
-            last = int(t)
-        state.update((last,))
-        yield part[keep][columns]
+    def step(_: tuple, part: pd.DataFrame, state: tuple | None, until) -> pd.DataFrame:
+        last = state and state[0]
+        part, ms = _in_order(part, ts, list(order))
+        before = np.maximum.accumulate(ms.to_numpy())
+        gap = np.concatenate([[window_ms if last is None else ms.iloc[0] - last], ms.to_numpy()[1:] - np.maximum(before[:-1], -(1 << 62) if last is None else last)])
+        end = int(before[-1]) if last is None else max(int(before[-1]), last)
+        until(end + window_ms, (end,))
+        return part[gap >= window_ms][columns]
 
-    return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(df, keys, ts, late, "last bigint", step)
 
 
-def throttle_stream(df: DataFrame, keys: list[str], per_second: float, ts: str = "ts", order: list[str] = ()) -> DataFrame:
-    """The rows of a stream that throttle() would take; state is the last row taken of each key."""
+def throttle_stream(df: DataFrame, keys: list[str], per_second: float, ts: str = "ts", order: list[str] = (), late: str | None = LATE) -> DataFrame:
+    """The rows of a stream that throttle() would take; state is the last row taken of each key, until the next may be."""
     columns, least = df.columns, 1000 / per_second
 
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
-        keep = []
-        for t in part[ts].astype("datetime64[ms]").astype("int64"):
-            keep.append(last is None or t - last >= least)
-            last = int(t) if keep[-1] else last
-        state.update((last,))
-        yield part[keep][columns]
+    def step(_: tuple, part: pd.DataFrame, state: tuple | None, until) -> pd.DataFrame:
+        last = state and state[0]
+        part, ms = _in_order(part, ts, list(order))
+        times, keep, at = ms.to_numpy(), np.zeros(len(ms), bool), 0
+        while at < len(times):  # from one taken row to the next, past all between
+            at += int(np.searchsorted(times[at:], times[at] if last is None else last + least))
+            if at < len(times):
+                keep[at], last = True, int(times[at])
+                at += 1
+        until(int(last + least) + 1, (last,))
+        return part[keep][columns]
 
-    return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(df, keys, ts, late, "last bigint", step)
 
 
-def reassemble_stream(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = ()) -> DataFrame:
-    """reassemble() for a stream; state is the latest part of each index. Columns in `last` are numbers or texts."""
-    columns, names = df.columns, list(last)
+def first_stream(df: DataFrame, keys: list[str], ts: str = "ts", order: list[str] = ()) -> DataFrame:
+    """The first row of each key of a stream, ever; state is that there was one, and stays: a number for each scanner."""
+    columns = df.columns
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)
-        out = []
-        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")
+        part = pd.concat(list(frames)).sort_values([ts, *order], kind="stable")[columns]
+        yield part.iloc[: 0 if state.exists else 1]
+        state.update((1,))
+
+    return df.groupBy(*keys).applyInPandasWithState(step, df.schema, "done int", "append", GroupStateTimeout.NoTimeout)
+
+
+def first(df: DataFrame, keys: list[str], ts: str = "ts", order: list[str] = ()) -> DataFrame:
+    """The first row of each key of a table."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(ts, list(order))))
+    return df.withColumn("_turn", turn).filter("_turn = 1").drop("_turn")
+
+
+def reassemble_stream(df: DataFrame, keys: list[str], ts: str = "ts", ttl_ms: int = TTL_MS, order: list[str] = (), last: list[str] = (), sums: list[str] = (), lists: list[str] = (), late: str | None = LATE) -> DataFrame:
+    """reassemble() for a stream; state is the latest part of each index, for ttl_ms. Columns in `last` are numbers or texts."""
+    columns, names = df.columns, [*last, *sums, *lists]
+
+    def step(_: tuple, part: pd.DataFrame, state: tuple | None, until) -> pd.DataFrame:
         if part["total"].isna().all():  # total is a key: these have no header
-            yield part[columns]
-            return
-        ms = part[ts].astype("datetime64[ms]").astype("int64")
-        for row, t in zip(part.to_dict("records"), ms, strict=True):
+            return part[columns]
+        seen, end = (json.loads(state[0]), state[1]) if state else ({}, None)
+        out = []
+        part, ms = _in_order(part, ts, list(order))
+        for row, t in zip(part.to_dict("records"), ms.tolist(), strict=True):
             if row["total"] < 2 or row["index"] >= row["total"]:
                 continue
-            if last is not None and t - last > ttl_ms:
+            if end is not None and t - end > ttl_ms:
                 seen = {}
-            last = int(t)
+            end = t if end is None else max(t, end)
             seen[str(int(row["index"]))] = [row["text"], bytes(row["bytes"]).hex(), {c: row[c] for c in names}]
             got = [seen.get(str(i)) for i in range(int(row["total"]))]
             if all(got):
-                raw, parity = b"".join(bytes.fromhex(g[1]) for g in got), 0
-                for b in raw:
-                    parity ^= b
-                if parity == row["parity"]:
-                    out.append(row | got[-1][2] | {"text": "".join(g[0] for g in got), "bytes": raw})
-        state.update((json.dumps(seen), last if last is not None else 0))
-        yield pd.DataFrame(out, columns=columns)
-
-    return df.groupBy(*keys, "total", "parity").applyInPandasWithState(step, df.schema, "parts string, last bigint", "append", GroupStateTimeout.NoTimeout)
+                raw = b"".join(bytes.fromhex(g[1]) for g in got)
+                if int(np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8), initial=0)) == row["parity"]:
+                    made = {c: got[-1][2][c] for c in last} | {c: sum(g[2][c] or 0 for g in got) for c in sums}
+                    made |= {c: "[" + ",".join(x for g in got if (x := g[2][c][1:-1])) + "]" for c in lists}
+                    out.append(row | made | {"text": "".join(g[0] for g in got), "bytes": raw})
+        if end is not None:
+            until(end + ttl_ms + 1, (json.dumps(seen), end))
+        return pd.DataFrame(out, columns=columns)
+
+    return _stateful(df, [*keys, "total", "parity"], ts, late, "parts string, last bigint", step)

@@ -42,7 +42,11 @@ def test_live_scan_of_a_table(spark):
     scanned = live.scan_live(table(spark), ["source"], per_second=10).cache()
     out = live.decodes(live.sightings(scanned, ["source"], reassemble=True), ["source"])
     assert emitted(out) == WANT
-    assert out.filter("size(corner_points) = 4 and ecc.blocks = 1").count() == 4
+    assert out.filter("size(corner_points) = 4 and ecc.blocks = 1").count() == 3
+    joined = out.filter("text = 'left and right'").collect()[0]
+    assert (joined.ecc.blocks, [(s.mode, s.text, bytes(s.bytes)) for s in joined.segments]) == (2, [("byte", "left ", b"left "), ("byte", "and right", b"and right")])
+    stopped = live.decodes(live.sightings(scanned, ["source"], reassemble=True), ["source"], stop_on_decode=True)
+    assert emitted(stopped) == [WANT[0], WANT[2]]
     assert [r.error_code for r in live.errors(scanned).collect()] == ["frame"]
     assert live.detections(scanned).filter("detections is null").count() == 1
     moved = live.in_frame(scanned, F.lit(100.0), F.lit(0.0)).filter("source = 'a'").select(F.col("results")[0]["corner_points"][0]["x"].alias("x")).first().x
@@ -63,6 +67,7 @@ def test_live_scan_of_a_stream(spark, tmp_path):
     seen = through(live.sightings(scanned, ["source"], reassemble=True), "sightings")
     through(live.decodes(seen, ["source"]), "decodes")
     assert emitted(spark.read.parquet(str(tmp_path / "decodes"))) == WANT
+    assert spark.read.parquet(str(tmp_path / "decodes")).filter("text = 'left and right' and ecc.blocks = 2 and size(segments) = 2").count() == 1
     assert spark.read.parquet(str(tmp_path / "errors")).count() == 1
 
 

@@ -1,17 +1,19 @@
 import json
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from matrixlake.functions.content import parse_content
 from matrixlake.streaming import scanner
 
 
 def at(df):
-    return df.withColumn("ts", F.timestamp_millis("ms"))
+    return df.withColumn("ts", F.timestamp_millis(F.col("ms") + 1_700_000_000_000))
 
 
 def folded(rows, window):
@@ -70,6 +72,59 @@ def test_reassemble(spark):
     assert got == [(10, "abcd", b"abcd"), (20, "abcd", b"abcd"), (70_000, "abcd", b"abcd")]
 
 
+def test_joined_parts_add_up(spark, tmp_path):
+    rows = [{"source": k, "ms": 10 * i, "index": i, "total": 3, "parity": ord("a") ^ ord("b") ^ ord("c"), "text": "abc"[i], "n": i + 1, "list": ["[1]", "[]", "[2,3]"][i], "mine": i} for i in (2, 0, 1) for k in ("s", None)]
+    schema = "source string, ms bigint, index int, total int, parity int, text string, n int, list string, mine int"
+    make = lambda s, f: f(at(s).withColumn("bytes", F.col("text").cast("binary")), ["source"], sums=["n"], lists=["list"], last=["mine"])
+    want = [("abc", 6, "[1,2,3]", 2, 20)] * 2
+    got = make(spark.createDataFrame([tuple(r.values()) for r in rows], schema), scanner.reassemble).collect()
+    assert [(r.text, r.n, r.list, r.mine, r.ms) for r in got] == want
+    got = streamed(spark, tmp_path, schema, [rows], lambda s: make(s, scanner.reassemble_stream))
+    assert [(r.text, r.n, r.list, r.mine, r.ms) for r in got] == want
+
+
+def test_state_shrinks_and_clocks_do_not_go_back(spark, tmp_path):
+    """Keys that come no more lose their state; a late row in time counts, but the last sighting stays the last."""
+    days = [[{"key": f"k{d}-{i}", "ms": d * 86_400_000 + i} for i in range(50)] for d in range(4)]
+    days[3] += [{"key": "x", "ms": 3 * 86_400_000 + 9_000}]
+    days += [[{"key": "x", "ms": 3 * 86_400_000 + 8_000}], [{"key": "x", "ms": 3 * 86_400_000 + 10_000}], [{"key": "x", "ms": 3 * 86_400_000 + 10_600}]]
+    sizes = []
+
+    def make(s):
+        return scanner.deduplicate_stream(at(s), ["key"])
+
+    class Watch(StreamingQueryListener):
+        def onQueryStarted(self, event):  # noqa: N802
+            pass
+
+        def onQueryProgress(self, event):  # noqa: N802
+            sizes.extend(o.numRowsTotal for o in event.progress.stateOperators)
+
+        def onQueryIdle(self, event):  # noqa: N802
+            pass
+
+        def onQueryTerminated(self, event):  # noqa: N802
+            pass
+
+    watch = Watch()
+    spark.streams.addListener(watch)
+    try:
+        got = streamed(spark, tmp_path, "key string, ms bigint", days, make)
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(watch)
+    assert max(sizes) <= 110 and sum(map(len, days)) > 200
+    assert sorted(r.ms - 3 * 86_400_000 for r in got if r.key == "x") == [9_000]
+
+
+def test_first_rows(spark, tmp_path):
+    rows = [{"key": k, "ms": t} for t in (5, 7, 9) for k in "ab"]
+    got = streamed(spark, tmp_path, "key string, ms bigint", [rows[:2], rows[2:]], lambda s: scanner.first_stream(at(s), ["key"]))
+    assert sorted((r.key, r.ms) for r in got) == [("a", 5), ("b", 5)]
+    got = scanner.first(at(spark.createDataFrame(pd.DataFrame(rows))), ["key"]).collect()
+    assert sorted((r.key, r.ms) for r in got) == [("a", 5), ("b", 5)]
+
+
 def streamed(spark, tmp_path, schema, chunks, make):
     (tmp_path / "in").mkdir()
     for i, rows in enumerate(chunks):
