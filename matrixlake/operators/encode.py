@@ -43,18 +43,9 @@ def mode_of(text: str) -> int:
 
 def payload_bits(text: str, version: int, append: tuple[int, int, int] | None = None) -> str:
     """Mode, count and characters as binary digits."""
-    mode, raw = mode_of(text), text.encode()
-    head = "" if append is None else f"0011{append[0]:04b}{append[1] - 1:04b}{append[2]:08b}"
-    count = len(text) if mode < 4 else len(raw)
-    out = [head, f"{mode:04b}", f"{count:0{COUNT_BITS[mode][(version > 9) + (version > 26)]}b}"]
-    if mode == 1:
-        out += [f"{int(text[i : i + 3]):0{(0, 4, 7, 10)[len(text[i : i + 3])]}b}" for i in range(0, count, 3)]
-    elif mode == 2:
-        at = [ALPHANUMERIC.index(c) for c in text]
-        out += [f"{at[i] * 45 + at[i + 1]:011b}" if i + 1 < count else f"{at[i]:06b}" for i in range(0, count, 2)]
-    else:
-        out += [f"{b:08b}" for b in raw]
-    return "".join(out)
+    mode = mode_of(text)
+    parts = [] if append is None else [{"mode": "append", "a": append[0], "b": append[1], "c": append[2]}]
+    return "".join(segment_bits(p, version) for p in [*parts, {"mode": {1: "numeric", 2: "alphanumeric", 4: "byte"}[mode], "text": text}])
 
 
 def fitting_version(text: str, level: str, append: tuple[int, int, int] | None = None) -> int:
@@ -64,12 +55,57 @@ def fitting_version(text: str, level: str, append: tuple[int, int, int] | None =
     raise ValueError("the text doesn't fit a symbol")
 
 
+def segment_bits(segment: dict, version: int) -> str:
+    """One segment as binary digits: mode, text, bytes and the numbers a, b and c of modes that have some.
+
+    numeric, alphanumeric, byte (text or bytes), kanji; eci (a: assignment); append (a: index, b: total, c: parity);
+    fnc1 and fnc1-second (a: indicator); raw (text: the digits themselves).
+    """
+    mode, text, a = segment["mode"], segment.get("text") or "", segment.get("a")
+    band = (version > 9) + (version > 26)
+    if mode == "raw":
+        return text
+    if mode == "eci":
+        return "0111" + (f"{a:08b}" if a < 128 else f"10{a:014b}" if a < 1 << 14 else f"110{a:021b}")
+    if mode == "append":
+        return f"0011{a:04b}{segment['b'] - 1:04b}{segment['c']:08b}"
+    if mode in ("fnc1", "fnc1-second"):
+        return "0101" if mode == "fnc1" else f"1001{a:08b}"
+    if mode == "kanji":
+        raw = text.encode("cp932")
+        pairs = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)]
+        pairs = [c - (0x8140 if c <= 0x9FFC else 0xC140) for c in pairs]
+        return f"1000{len(pairs):0{COUNT_BITS[8][band]}b}" + "".join(f"{(c >> 8) * 0xC0 + (c & 255):013b}" for c in pairs)
+    if mode == "byte":
+        raw = segment.get("bytes")
+        raw = text.encode() if raw is None else bytes(raw)
+        return f"0100{len(raw):0{COUNT_BITS[4][band]}b}" + "".join(f"{b:08b}" for b in raw)
+    return characters(text, 1 if mode == "numeric" else 2, version)
+
+
+def characters(text: str, mode: int, version: int) -> str:
+    """A numeric (1) or alphanumeric (2) segment."""
+    out = [f"{mode:04b}", f"{len(text):0{COUNT_BITS[mode][(version > 9) + (version > 26)]}b}"]
+    if mode == 1:
+        out += [f"{int(text[i : i + 3]):0{(0, 4, 7, 10)[len(text[i : i + 3])]}b}" for i in range(0, len(text), 3)]
+    else:
+        at = [ALPHANUMERIC.index(c) for c in text]
+        out += [f"{at[i] * 45 + at[i + 1]:011b}" if i + 1 < len(at) else f"{at[i]:06b}" for i in range(0, len(at), 2)]
+    return "".join(out)
+
+
 def encode(text: str, level: str = "M", version: int | None = None, mask: int = 2, append: tuple[int, int, int] | None = None) -> np.ndarray:
     """The matrix of a text, [row, column], dark is true."""
     version = version or fitting_version(text, level, append)
+    return matrix_of(payload_bits(text, version, append), level, version, mask)
+
+
+def matrix_of(bits: str, level: str, version: int, mask: int = 2) -> np.ndarray:
+    """The matrix of a payload in binary digits, [row, column], dark is true."""
     checks, sizes = blocks(version, level)
     room = 8 * sum(sizes)
-    bits = payload_bits(text, version, append)
+    if len(bits) > room:
+        raise ValueError("the payload doesn't fit the symbol")
     bits += "0" * min(4, room - len(bits))
     bits += "0" * (-len(bits) % 8)
     pads = "1110110000010001"
@@ -117,6 +153,38 @@ def rgba(gray: np.ndarray) -> bytes:
     return np.dstack([gray, gray, gray, np.full_like(gray, 255)]).tobytes()
 
 
+SEGMENTS = "array<struct<mode:string,text:string,bytes:binary,a:int,b:int,c:int>>"
+
+
+def segment_symbols(df: DataFrame, segments: str, version: str, level: str = "M") -> DataFrame:
+    """df with matrix and size of the symbol of a column of segments (SEGMENTS) at the version of another."""
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("matrix binary, size int").fields])
+    arrow = _schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [matrix_of("".join(segment_bits(s, v) for s in parts), level, v) for parts, v in zip(batch.column(segments).to_pylist(), batch.column(version).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.astype(np.uint8).tobytes() for m in made], pa.binary()), pa.array([len(m) for m in made], pa.int32())], schema=arrow)
+
+    return df.mapInArrow(work, schema)
+
+
+def rendered(df: DataFrame, scale: int) -> DataFrame:
+    """df with RGBA frames (data, width, height) of its matrix and size instead of these."""
+    own = [f for f in df.schema.fields if f.name not in ("matrix", "size")]
+    schema = T.StructType([*own, *T._parse_datatype_string("data binary, width int, height int").fields])
+    arrow = _schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 50):
+                part = batch.slice(i, 50)
+                made = [render(np.frombuffer(m, np.uint8).reshape(n, n) != 0, scale) for m, n in zip(part.column("matrix").to_pylist(), part.column("size").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), pa.array([rgba(g) for g in made], pa.binary()), *(pa.array([g.shape[k] for g in made], pa.int32()) for k in (1, 0))], schema=arrow)
+
+    return df.mapInArrow(work, schema)
+
+
 def symbols(df: DataFrame, text: str, level: str = "M", render_scale: int | None = None) -> DataFrame:
     """df with matrix and size of the symbol of a text column; with a scale also an RGBA frame: data, width, height."""
     added = "matrix binary, size int" + (", data binary, width int, height int" if render_scale else "")

@@ -5,53 +5,7 @@ import pytest
 
 from matrixlake.functions.tables import ALPHANUMERIC
 from matrixlake.operators import encode, scan, vision
-
-
-def warped(gray, source, shape=None):
-    h, w = shape or gray.shape
-    y, x = np.mgrid[:h, :w] + 0.5
-    value, inside = vision.sample(gray, *source(x, y))
-    return np.where(inside, value, 255).astype(np.uint8)
-
-
-def rotated(gray, degrees):
-    a, (h, w) = np.deg2rad(degrees), gray.shape
-    n = int(abs(w * np.cos(a)) + abs(h * np.sin(a))) + 2
-    c, s = np.cos(a), np.sin(a)
-    return warped(gray, lambda x, y: ((x - n / 2) * c + (y - n / 2) * s + w / 2, -(x - n / 2) * s + (y - n / 2) * c + h / 2), (n, n))
-
-
-def tilted(gray, rng):
-    n = gray.shape[0]
-    e = rng.uniform(0, 0.09 * n, 8)
-    quad = [(e[0], e[1]), (n - e[2], e[3]), (n - e[4], n - e[5]), (e[6], n - e[7])]
-    h = vision.homography(quad, [(0, 0), (n, 0), (n, n), (0, n)])
-    return warped(gray, lambda x, y: vision.apply(h, x, y))
-
-
-def blurred(gray, r):
-    p, n = np.pad(gray.astype(float), r, mode="edge"), 2 * r + 1
-    return (sum(p[i : i + gray.shape[0], j : j + gray.shape[1]] for i in range(n) for j in range(n)) / n**2).round().astype(np.uint8)
-
-
-def noisy(gray, rng, share=0.02):
-    out = gray.copy()
-    hit = rng.random(gray.shape) < share
-    out[hit] = rng.choice([0, 255], hit.sum())
-    return out
-
-
-SCENES = {
-    "clean": (lambda g, r: g, 1.0),
-    "rotated": (lambda g, r: rotated(g, 30), 0.9),
-    "perspective": (tilted, 0.9),
-    "noise": (noisy, 0.9),
-    "gradient": (lambda g, r: (g * np.linspace(0.35, 1, g.shape[1])).astype(np.uint8), 0.9),
-    "low contrast": (lambda g, r: (110 + g / 255 * 55).astype(np.uint8), 0.9),
-    "blur 1": (lambda g, r: blurred(g, 1), 0.9),
-    "blur 2": (lambda g, r: blurred(g, 2), 0.5),
-    "inverted": (lambda g, r: 255 - g, 1.0),
-}
+from matrixlake.operators.scenes import SCENES
 
 
 @pytest.mark.parametrize("scene", SCENES)
