@@ -68,6 +68,12 @@ class scratch:  # noqa: N801
         for path, spark in self.paths.items():
             _delete(spark, path)
 
+    @classmethod
+    def note(cls, spark: SparkSession, path: str) -> None:
+        """A path goes with the innermost scratch, if there is one."""
+        if cls.open:
+            cls.open[-1].paths[path] = spark
+
     def keep(self, df: DataFrame) -> DataFrame:
         spark = self.paths.pop(df._staged)
         outer = scratch.open[: scratch.open.index(self)]
@@ -83,8 +89,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
-    if scratch.open:
-        scratch.open[-1].paths[path] = spark
+    scratch.note(spark, path)
     return out
 
 

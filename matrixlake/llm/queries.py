@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import imatch, language, mixing, neighbours, ngram_join, packing, quality, repeats, token_files, toxicity
-from .common import table
+from .common import scratch, staged, table
 
 #: Where the public vocabularies are; a parameter of the operators that use one.
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -60,15 +60,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its rows written to the shared folder, and all that it staged on the way deleted."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch() as s:
+            return s.keep(staged(query(spark, sf_dir), query.__name__))
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality": op1_quality,
-    "op2_token_files": op2_token_files,
+    "op1_quality": tidy(op1_quality),
+    "op2_token_files": tidy(op2_token_files),
     "op3_ngram_join": op3_ngram_join,
-    "op4_repeats": op4_repeats,
+    "op4_repeats": tidy(op4_repeats),
     "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
-    "op7_neighbours": op7_neighbours,
-    "op8_mixing": op8_mixing,
+    "op7_neighbours": tidy(op7_neighbours),
+    "op8_mixing": tidy(op8_mixing),
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }

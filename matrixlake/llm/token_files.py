@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, staged
+from .common import partitions, scratch, shared_dir, staged
 from .tokens import Encoder
 
 FRAME_BYTES = 1 << 20
@@ -129,11 +129,17 @@ def opened(uri: str):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Writes the ids of docs(doc_id, text) as token files, one for each range of doc_id; returns the manifest."""
+    """Writes the ids of docs(doc_id, text) as token files, one for each range of (doc_id, text); returns the manifest.
+
+    Without a folder they go to one of their own in the shared folder, which counts as staged.
+    """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+        scratch.note(spark, folder)
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # ids that many rows share, or null ones, are cut by how their texts begin
+    ordered = ordered.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

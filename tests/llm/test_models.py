@@ -393,3 +393,34 @@ def test_pipeline_stages(spark):
     total = corpus_pipeline.STAGES[-1][1](spark, docs, SF).agg(F.sum("length")).first()[0]
     whole = corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0]
     assert total == whole
+
+
+ODD_DOCUMENTS = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (5, "one"), (5, "another text of the same id"), (None, "no id at all here"), (None, None), (6, "a long text of words " * 20_000), (7, "a long text of words " * 20_000), (8, "ab" * 40_000)]
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, turn int, _id string, _tag string, size int, copies int, taken int, start int, offset int, bucket int, kind int, block int, rest string, tag int"
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables, stage by stage."""
+    spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rest = CLASHING.count(",") - 4
+    rows = [(d, t, None, None if d == 2 else "s", None, *["7" if c.split()[1] == "string" else 7 for c in CLASHING.split(", ")[5:]]) for d, t in ODD_DOCUMENTS]
+    assert len(rows[0]) == rest + 5
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, CLASHING)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), CLASHING)
+        kept = docs.collect()
+        assert all(r.row == "7" and r["_id"] == "7" and r.turn == 7 for r in kept)
+        if some:
+            assert {r.text for r in kept if r.doc_id in (4, 5)} >= {"one"}
+            assert len([r for r in kept if r.text and len(r.text) > 10_000]) <= 2
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert (len(pieces) > 0) == bool(some)
+
+
+def test_neighbours_with_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, v int, list int, ids int")
+    assert len(neighbours.nearest(df, every=10).collect()) == 10

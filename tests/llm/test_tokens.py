@@ -40,11 +40,16 @@ def test_pieces_give_the_ids_of_whole_texts(name):
 
 ROWS = [(5, "some words here", "x"), (11, "İ said <|endoftext|> twice <|endoftext|>", "x"), (2, None, "y"), (9, "", None), (2, "again", "z"), (2, "again", "z"), (None, "no id", "q"), (7, "a long text " * 2000, "x")]
 SCHEMA = "doc_id bigint, text string, part string"
+MORE = {c: "7" for c in ("start", "length", "offset", "ids", "path", "sequence_id")}
+
+
+def clashing(df):
+    return df.selectExpr("*", *[f"'{v}' AS {c}" for c, v in MORE.items()])
 
 
 def test_token_files_round_trip(spark):
     path = queries.vocabulary(queries.WORD_VOCABULARY)
-    docs = spark.createDataFrame(ROWS, SCHEMA)
+    docs = clashing(spark.createDataFrame(ROWS, SCHEMA))
     manifest = token_files.write_token_files(docs, path, 2, frame_bytes=64)
     rows = sorted(map(tuple, token_files.read_token_files(manifest).collect()), key=lambda r: r[1])
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -92,7 +97,7 @@ def check_pieces(rows, docs):
 
 def test_packing(spark):
     path = queries.vocabulary(queries.BYTE_VOCABULARY)
-    rows = packing.pack(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), path, 0).collect()
+    rows = packing.pack(clashing(spark.createDataFrame(ROWS, SCHEMA)).coalesce(1), path, 0).collect()
     waste, total = check_pieces(rows, ROWS)
     assert waste < 0.02 * total + packing.LOOSE
     same = [(i, "word " * 600, "x") for i in range(200)]  # lengths that best fit alone can't pair
