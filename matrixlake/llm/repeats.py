@@ -101,7 +101,7 @@ ENTRY = ["i8", "u4", "u4", "u1", "u1"]
 #: What moves: blocks of phrases, as fingerprints or bytes, of replies, and of documents.
 BLOCKS = "bucket int, kind int, block binary"
 PHRASES, REPLIES, TEXTS = 0, 1, 2
-TEXT_BYTES, SAME_BYTES = 24 << 20, 4 << 20
+TEXT_BYTES, SAME_BYTES, ORDER_BYTES = 16 << 20, 1 << 20, 1 << 20
 
 
 def place(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -457,11 +457,13 @@ def _compare(length: int, buckets: int):
         count = count.astype(np.int64)
         long_ = count + length - 1
         start = np.cumsum(long_) - long_
-        mark = np.zeros(len(doc), U64)
+        mark, trigger = np.zeros(len(doc), U64), np.zeros(len(doc), U64)
         cuts = [0, *np.searchsorted(start, np.arange(ta.SLICE_BYTES, len(data), ta.SLICE_BYTES)).tolist(), len(doc)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
-                mark[a:b] = Spans(data[start[a] : start[b - 1] + long_[b - 1]]).hash(start[a:b] - start[a], long_[a:b])
+                spans, at_ = Spans(data[start[a] : start[b - 1] + long_[b - 1]]), start[a:b] - start[a]
+                mark[a:b] = spans.hash(at_, long_[a:b])
+                trigger[a:b] = (spans.hash(at_[:, None] + np.arange(length - GRAM + 1), GRAM) >> U64(32)).min(1)
         known = Dictionary(data, start, long_, mark, doc, at, tag)
         order, later = known.order, known.later
         whole = order[later]
@@ -477,6 +479,19 @@ def _compare(length: int, buckets: int):
         one = order[lead]
         if not len(one):
             return
+        # equal windows have equal triggers, so whole triggers go to the order together, a bounded number of bytes at a time
+        by = np.argsort(trigger[one], kind="stable")
+        twins = np.add.reduceat(~later, np.flatnonzero(~known.same), dtype=np.int64)[wide]
+        one, lead, twins = one[by], lead[by], twins[by]
+        size = np.cumsum(long_[one])
+        new = np.concatenate([[0], np.flatnonzero(np.diff(trigger[one])) + 1, [len(one)]])
+        at_ = 0
+        for edge, after in zip(new[1:].tolist(), [*new[2:].tolist(), None], strict=True):
+            if after is None or size[after - 1] - (size[at_ - 1] if at_ else 0) > ORDER_BYTES:
+                yield from ordered(one[at_:edge], lead[at_:edge], twins[at_:edge], order, doc, tag, at, count, long_, start, data)
+                at_ = edge
+
+    def ordered(one, lead, twins, order, doc, tag, at, count, long_, start, data) -> Iterator[pa.RecordBatch]:
         part, ends = data[flat(start[one], long_[one])], np.cumsum(long_[one])
         rank = ranks(part, np.repeat(ends, long_[one]), length)
         phrase = np.repeat(np.arange(len(one)), count[one])
@@ -488,9 +503,8 @@ def _compare(length: int, buckets: int):
         # runs of repeated windows of a phrase, for all rows at its first place
         head = np.flatnonzero(repeat & np.concatenate([[True], ~repeat[:-1] | (phrase[1:] != phrase[:-1])]))
         tail = np.flatnonzero(repeat & np.concatenate([~repeat[1:] | (phrase[1:] != phrase[:-1]), [True]]))
-        rows = np.bincount(np.searchsorted(lead, known.first[~later][np.isin(known.first[~later], lead)]), minlength=len(lead))
-        for twin in range(int(rows.max())):  # more than one only where rows share an id and a place
-            some = rows[phrase[head]] > twin
+        for twin in range(int(twins.max())):  # more than one only where rows share an id and a place
+            some = twins[phrase[head]] > twin
             mine = order[lead[phrase[head][some]] + twin]
             yield from _batches(_replies(doc[mine], tag[mine], where[head][some].astype(np.uint32), (tail - head + 1)[some], SURE, buckets))
 
