@@ -39,7 +39,7 @@ from .graphs import components
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
-TILE_ROWS, TILE_BYTES, PIVOTS, FLUSH = 256, 8 << 20, 16, 1_000_000
+TILE_ROWS, TILE_BYTES, PIVOTS, FLUSH = 1024, 8 << 20, 48, 1_000_000
 BAND_GROWTH = 1.5
 #: Sets that may differ in so many shingles at most send signatures of every two parts.
 PAIRED = 6
