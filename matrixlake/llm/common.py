@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that go to a Python task at once, whatever the number of rows.
 ARROW_BYTES = 8 << 20
+#: Rows of a few numbers that a task writes into one file, and files that a table of them has at most if it has fewer rows.
+FILE_ROWS, FILES = 50_000, 12
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -93,6 +95,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, about so many rows of a few numbers, in no more partitions than they need, whatever the number of shuffle partitions.
+
+    For each folder and file that a task writes to a local disk, an executor without Hadoop's native library starts a process
+    (chmod), and until that process has a memory of its own, the executor's counts twice for whoever adds up the two.
+    """
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more: only what came of them, staged itself, is used from here on."""
     for df in tables:

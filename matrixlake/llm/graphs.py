@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, few, staged
 
 
 CHUNK = 500_000
@@ -49,14 +49,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Each task first turns its own links into stars. Then rounds of the two star operations: a node links its larger
     neighbours to its smallest, then each node its smaller neighbours to the smallest of them. Each round is written to
-    the shared folder; the links end as stars, which another round leaves as they are.
+    the shared folder, in files by the number of links; they end as stars, which another round leaves as they are.
     """
 
-    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
-        out = staged(df, "links")
+    def written(df: DataFrame, rows: int) -> tuple[DataFrame, tuple]:
+        out = staged(few(df, rows), "links")
         return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
-    now, mark = written(links.filter(F.col("a") != F.col("b")).mapInArrow(_forests, "u bigint, v bigint").distinct())
+    now, mark = written(links.filter(F.col("a") != F.col("b")).mapInArrow(_forests, "u bigint, v bigint").distinct(), links.count())
     last = None
     while mark[0] and mark != last:
         both = now.union(now.select("v", "u")).toDF("u", "v")
@@ -65,6 +65,6 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, last = now, mark
-        now, mark = written(small.union(low.toDF("u", "v")).distinct())
+        now, mark = written(small.union(low.toDF("u", "v")).distinct(), mark[0])  # a round never adds links
         discard(old)
     return now.toDF("node", "root").union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blobs, textarrays as ta
-from .common import discard, partitions, scratch, staged
+from .common import discard, few, partitions, scratch, staged
 from .graphs import components
 
 U64 = np.uint64
@@ -323,31 +323,34 @@ def classes(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> D
     with scratch() as s:
         rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
         base = staged(rows.mapInArrow(_profile(words), "doc_id bigint, tag bigint, n bigint, d1 bigint, d2 bigint"), "shingle-sets")
+        many = base.count()  # tables of numbers are written in files by their rows
         # of each class one row, the first by id and text, stands for it
-        class_ = staged(base.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tag")).alias("rep")), "classes")
+        class_ = staged(few(base.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tag")).alias("rep")), many), "classes")
 
         sent = rows.select("text").mapInArrow(_signatures(words, num, den, 4 * n), "bucket int, block binary")
-        tiles = staged(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(Signer(num, den).low), TILES).distinct(), "signature-groups")
+        tiles = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(Signer(num, den).low), TILES).distinct()
+        tiles = staged(few(tiles, 8 * many), "signature-groups")  # some 5 a document
         wanted = class_.join(tiles.select("d1").distinct(), "d1").select("d1", "d2", F.col("rep.doc_id").alias("_id"), F.col("rep.tag").alias("_tag"))
         texts = rows.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "d1", "d2")
         known_sets = staged(texts.mapInArrow(_recall(words), "d1 bigint, n bigint, bits binary, shingles binary"), "candidate-sets")
 
         # first by bitmaps within each group, so that a common passage doesn't chain texts together; then exactly
         close = connected(tiles, known_sets.select("d1", "n", "bits"), num, den, False)
-        exact = staged(_tiles(close, known_sets), "close-tiles")
+        exact = staged(few(_tiles(close, known_sets), close.count()), "close-tiles")
         linked = connected(exact, known_sets, num, den, True)
         discard(tiles, known_sets, close, exact)
 
         met = linked.join(class_.select(F.col("d1").alias("node"), "rep"), "node")
         first = met.groupBy("root").agg(F.min("rep").alias("first"))
         named = linked.join(first, "root").select(F.col("node").alias("d1"), "first")
-        named = staged(class_.join(named, "d1", "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("first", "rep").alias("first")), "components")
+        named = class_.join(named, "d1", "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("first", "rep").alias("first"))
+        named = staged(few(named, many), "components")
         out = base.join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
         component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
         stands = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & F.col("first.tag").eqNullSafe(F.col("tag")))
         known = lambda c: F.when(c != NULL_ID, c)
-        result = staged(out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "tag", stands.alias("first")), "ngram-join")
-        return s.keep(result)
+        result = out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"), "tag", stands.alias("first"))
+        return s.keep(staged(few(result, many), "ngram-join"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -385,33 +388,34 @@ def _set_rows(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array(bits, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["d1", "n", "bits", "shingles"])
 
 
-def _links_in(tiles: DataFrame, known_sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
-    """The links found in tiles(root, block, d1); the sets join only here."""
+def _links_in(tiles: DataFrame, known_sets: DataFrame, num: int, den: int, exact: bool, rows: int) -> DataFrame:
+    """The links found in tiles(root, block, d1), about so many rows; the sets join only here."""
     n = partitions(tiles.sparkSession)
     held = tiles.select("root", "block", "d1").join(known_sets, "d1").repartition(n, "root", "block").sortWithinPartitions("root", "block")
-    return staged(held.mapInArrow(_tested(num, den, exact), "a bigint, b bigint").distinct(), "links")
+    return staged(few(held.mapInArrow(_tested(num, den, exact), "a bigint, b bigint").distinct(), rows), "links")
 
 
 def connected(tiles: DataFrame, known_sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     """(node, root) by the links of all pairs of each group; tiles of more than one block hold a block and the pivots."""
     with scratch() as s:
-        links = _links_in(tiles, known_sets, num, den, exact)
+        rows = tiles.count()  # a tile has fewer links than rows
+        links = _links_in(tiles, known_sets, num, den, exact, rows)
         found = components(links)
-        apart = _apart(tiles, found)
+        apart = _apart(tiles, found, rows)
         if apart is not None:
-            found = components(links.union(_links_in(apart, known_sets, num, den, exact)))
-        return s.keep(staged(found, "connected"))
+            found = components(links.union(_links_in(apart, known_sets, num, den, exact, rows)))
+        return s.keep(staged(few(found, rows), "connected"))
 
 
-def _apart(tiles: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Tiles of every two blocks of a large group that aren't of one component; None if there are no such groups."""
+def _apart(tiles: DataFrame, found: DataFrame, rows: int) -> DataFrame | None:
+    """Of so many rows of tiles, those of every two blocks of a large group that aren't of one component; None if there are no such groups."""
     large = tiles.filter("blocks > 1").select("root", "d1").distinct()
     if not large.limit(1).count():
         return None
-    large = staged(large.join(found.toDF("d1", "c"), "d1", "left").select("root", "d1", F.coalesce("c", "d1").alias("c")), "large-groups")
+    large = staged(few(large.join(found.toDF("d1", "c"), "d1", "left").select("root", "d1", F.coalesce("c", "d1").alias("c")), rows), "large-groups")
     sizes = large.groupBy("root", "c").agg(F.count("*").alias("k"))
     several = sizes.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.when(F.col("k") < TILE_ROWS, F.col("k"))).alias("rest")).filter("n > 1")
-    cut = staged(sizes.join(several, "root").select("root", "c", F.when(F.col("k") < TILE_ROWS, F.lit(None)).otherwise(F.col("c")).alias("piece"), F.ceil(F.when(F.col("k") < TILE_ROWS, F.col("rest")).otherwise(F.col("k")) / TILE_ROWS).alias("n")), "pieces")
+    cut = staged(few(sizes.join(several, "root").select("root", "c", F.when(F.col("k") < TILE_ROWS, F.lit(None)).otherwise(F.col("c")).alias("piece"), F.ceil(F.when(F.col("k") < TILE_ROWS, F.col("rest")).otherwise(F.col("k")) / TILE_ROWS).alias("n")), rows), "pieces")
     if not cut.limit(1).count():
         return None
     # components of many members are pieces of their own; the others lie together in blocks by hash

@@ -99,6 +99,33 @@ def test_blocks_of_a_chain_meet_without_its_pivots(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_files_follow_the_rows_and_not_the_partitions(spark, monkeypatch):
+    """Tables of numbers are written in few files under many shuffle partitions, and nothing is lost by it."""
+    rows, files, write = corpus(8), {}, ngram_join.staged
+    whole = sorted(map(str, ngram_join.classes(frame(spark, rows)).collect()))
+
+    def staged(df, tag):
+        out = write(df, tag)
+        files.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", staged)
+    monkeypatch.setattr(graphs, "staged", staged)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(map(str, ngram_join.classes(frame(spark, rows)).collect())) == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "signature-groups", "links", "close-tiles", "connected", "components", "ngram-join"} <= set(files)
+    most = {tag: max(n) for tag, n in files.items() if tag not in ("shingle-sets", "candidate-sets", "large-components")}
+    assert max(most.values()) <= 12, most
+
+
 def test_forests_keep_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1000)]
