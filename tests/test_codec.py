@@ -94,3 +94,62 @@ def test_expressions(spark):
     assert versions == list(tables.VERSIONS.values())
     got = spark.createDataFrame([(640, 480, 1), (3000, 2000, 4), (30, 30, 1)], "w int, h int, m int").select(exprs.scales(F.col("w"), F.col("h"), True, 4).alias("s")).collect()
     assert [r.s for r in got] == [[1, 2], [2, 1], [1]] or [r.s for r in got] == [[1, 2], [4, 1, 2], [1]]
+
+
+def test_matrices_read_together_are_read_as_one_by_one():
+    rng = np.random.default_rng(2)
+
+    def alone(m):
+        try:
+            return codec.decode(m)
+        except codec.DecodeError as e:
+            return {"error_code": e.code}
+
+    seen = set()
+    for version, level, mask in ((1, "L", 0), (2, "M", 2), (5, "Q", 5), (7, "H", 7), (12, "M", 1), (28, "M", 2)):
+        room = 8 * sum(tables.blocks(version, level)[1])
+        payloads = ["", "0110", "1" * room, *(encode.payload_bits(t, version) for t in ("", "0123456789", "A-1", "é b") * 4)]
+        made = encode.matrices_of(payloads, level, version, mask) != 0
+        assert all((m == encode.matrix_of(p, level, version, mask)).all() for m, p in zip(made, payloads, strict=True))
+        for m, flips in zip(made, np.resize([0, 1, 3, 6, 12, 200], len(made)), strict=True):
+            m.reshape(-1)[rng.integers(0, m.size, flips)] ^= True
+        got = codec.decode_all(made)
+        assert got == [alone(m) for m in made]
+        seen |= {g.get("error_code") or g["ecc"]["codewords_corrected"] > 0 for g in got}
+    assert seen >= {True, False, "bitstream", "reed-solomon"}
+
+
+@pytest.mark.parametrize("checks", [7, 10, 17, 30])
+def test_blocks_corrected_together_are_corrected_as_one_by_one(checks):
+    rng = np.random.default_rng(checks)
+    for n in (checks + 1, 44, 153):
+        words = rng.integers(0, 256, (3 * checks, n))
+        for errors, w in enumerate(words[: checks + 1]):
+            w[-checks:] = encode.checks_of(w[:-checks], checks)
+            w[rng.choice(n, errors, replace=False)] ^= rng.integers(1, 256, errors)
+        together = words.astype(np.uint8)
+        for count, w, t in zip(codec.correct_all(together, checks).tolist(), words, together, strict=True):
+            try:
+                assert codec.correct(w, checks) == count
+                assert (w == t).all()
+            except codec.DecodeError:
+                assert count == -1
+
+
+def test_a_matrix_of_negative_size_is_an_error(spark):
+    rows = spark.createDataFrame([(bytearray(441), -21)], "matrix binary, size int")
+    assert codec.decode_matrices(rows).first().error_code == "invalid-dimension"
+
+
+def tasks_of(df):
+    """How many tasks make the rows of df."""
+    return df.select(F.spark_partition_id().alias("task")).distinct().count()
+
+
+def test_symbols_of_segments_in_one_split_are_made_by_many_tasks(spark):
+    part = "named_struct('mode', 'byte', 'text', concat('row ', id), 'bytes', cast(null as binary), 'a', 0, 'b', 0, 'c', 0)"
+    rows = spark.range(1200).coalesce(1).select("id", F.expr(f"array({part})").alias("parts"), (F.col("id") % 12 + 1).cast("int").alias("v"))
+    made = codec.decode_matrices(encode.segment_symbols(rows, "parts", "v"))
+    assert tasks_of(made) >= 8
+    got = sorted((r.id, r.text, r.version, r.size, r.error_code) for r in made.collect())
+    assert got == [(i, f"row {i}", i % 12 + 1, 4 * (i % 12 + 1) + 17, None) for i in range(1200)]
