@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matrixlake.functions import exprs, tables
-from matrixlake.operators import codec, encode
+from matrixlake.operators import codec, encode, scan, scenes
 
 
 def bits(*parts):
@@ -153,3 +153,11 @@ def test_symbols_of_segments_in_one_split_are_made_by_many_tasks(spark):
     assert tasks_of(made) >= 8
     got = sorted((r.id, r.text, r.version, r.size, r.error_code) for r in made.collect())
     assert got == [(i, f"row {i}", i % 12 + 1, 4 * (i % 12 + 1) + 17, None) for i in range(1200)]
+
+
+def test_frames_of_one_split_are_made_by_many_tasks(spark):
+    rows = spark.range(64).coalesce(1).select("id", F.concat(F.lit("row "), "id").alias("text"), F.lit("clean").alias("scene"))
+    for made in (scenes.frames(rows, "text", "scene", "id"), encode.side_by_side(rows, "text", "scene")):
+        assert tasks_of(made) >= 8
+        got = scan.decode_all_frames(made.select("id", "data", "width", "height"), parse_content=False)
+        assert {r.text for r in got.filter("text != 'clean'").collect()} == {f"row {i}" for i in range(64)}
