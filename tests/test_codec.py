@@ -161,3 +161,15 @@ def test_frames_of_one_split_are_made_by_many_tasks(spark):
         assert tasks_of(made) >= 8
         got = scan.decode_all_frames(made.select("id", "data", "width", "height"), parse_content=False)
         assert {r.text for r in got.filter("text != 'clean'").collect()} == {f"row {i}" for i in range(64)}
+
+
+def test_symbols_of_one_split_are_made_by_many_tasks(spark):
+    text = F.when(F.col("id") % 7 > 0, F.repeat(F.concat(F.lit("row "), "id"), F.col("id").cast("int") % 40))
+    made = codec.decode_matrices(encode.symbols(spark.range(600).coalesce(1).select("id", text.alias("given")), "given"))
+    assert tasks_of(made) >= 8
+    for r in made.collect():
+        if r.given is None:
+            assert (r.matrix, r.size, r.text, r.error_code) == (None, None, None, "invalid-dimension")
+        else:
+            version = encode.fitting_version(r.given, "M")
+            assert (r.text, r.version, r.size, r.error_code) == (r.given, version, 4 * version + 17, None)
